@@ -48,13 +48,18 @@ class Variable:
 
 @dataclass(frozen=True)
 class RuleSchema:
-    """Features in order, classes in order, class sizes and the label count."""
+    """Features in order, classes in order, class sizes and the label count.
+
+    ``label_at`` is the place of the class among the columns of a text file,
+    the last one by default.
+    """
 
     variables: tuple[Variable, ...]
     label: str
     classes: tuple[str, ...]
     class_counts: tuple[int, ...]
     n_labels: int
+    label_at: int | None = None
 
     def __post_init__(self):
         if self.n_labels < 2:
@@ -78,6 +83,12 @@ class RuleSchema:
     def feature_names(self) -> list[str]:
         return [v.name for v in self.variables]
 
+    @property
+    def file_columns(self) -> list[str]:
+        names = self.feature_names
+        at = len(names) if self.label_at is None else self.label_at
+        return [*names[:at], self.label, *names[at:]]
+
     @property
     def most_frequent_class(self) -> int:
         return self.class_counts.index(max(self.class_counts))
@@ -151,7 +162,9 @@ def class_indices(spark: SparkSession, schema: RuleSchema) -> DataFrame:
     return classes_table(spark, schema).select("class_idx")
 
 
-def schema_from_tables(variables: DataFrame, classes: DataFrame, label: str, n_labels: int) -> RuleSchema:
+def schema_from_tables(
+    variables: DataFrame, classes: DataFrame, label: str, n_labels: int, label_at: int | None = None
+) -> RuleSchema:
     """Rebuild a schema from its two stored tables (one row per column or class)."""
     vs = variables.orderBy("var_idx").collect()
     cs = classes.orderBy("class_idx").collect()
@@ -171,6 +184,7 @@ def schema_from_tables(variables: DataFrame, classes: DataFrame, label: str, n_l
         classes=tuple(r["label"] for r in cs),
         class_counts=tuple(r["n"] for r in cs),
         n_labels=n_labels,
+        label_at=label_at,
     )
 
 
