@@ -63,7 +63,8 @@ def encode(
             is_text = isinstance(df.schema[var.name].dataType, T.StringType)
             x = raw.try_cast("double") if is_text else raw.cast("double")
             if bad_rows == "error":
-                x = F.when(x.isNull(), _fail(f"column {var.name} has an unreadable number")).otherwise(x)
+                # The last argument is never reached; it tells Spark that no null is left.
+                x = F.coalesce(x, _fail(f"column {var.name} has an unreadable number").cast("double"), F.lit(0.0))
         elif len(var.values) > LOOKUP_FROM and not var.compare_as_number:
             lookups.append(i)
             x = raw.cast("string")

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from math import prod
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ruleloom.functions.membership import cuts, peaks
 from ruleloom.operators.encode import x_col
@@ -27,35 +27,27 @@ GRID_FEATURES = 8
 KEY_LIMIT = 2**62
 
 
-def pack(columns, radices) -> Column:
-    """One key from several small indices: a bigint if it fits, else text."""
-    total = 1
-    for r in radices:
-        total *= r
+def pack(columns, radices) -> str:
+    """SQL for one key from several small indices: a bigint if it fits, else text."""
     if not columns:
-        return F.lit(0).cast("bigint")
-    if total >= KEY_LIMIT:
-        return F.concat_ws("|", *[c.cast("string") for c in columns])
-    key, stride = None, 1
+        return "0L"
+    if prod(radices) >= KEY_LIMIT:
+        return f"concat_ws('|', {', '.join(f'CAST({c} AS STRING)' for c in columns)})"
+    terms, stride = [], 1
     for c, r in zip(columns, radices):
-        term = c.cast("bigint") * F.lit(stride).cast("bigint") if stride > 1 else c.cast("bigint")
-        key = term if key is None else key + term
+        terms.append(f"CAST({c} AS BIGINT) * {stride}L" if stride > 1 else f"CAST({c} AS BIGINT)")
         stride *= r
-    return key
+    return "(" + " + ".join(terms) + ")"
 
 
-def unpack(key: Column, radices) -> list[Column]:
-    """The indices that went into :func:`pack`."""
-    total = 1
-    for r in radices:
-        total *= r
-    if total >= KEY_LIMIT:
-        parts = F.split(key, r"\|")
-        return [F.get(parts, F.lit(i)).cast("int") for i in range(len(radices))]
+def unpack(key: str, radices) -> list[str]:
+    """SQL for the indices that went into :func:`pack`."""
+    if prod(radices) >= KEY_LIMIT:
+        return [f"CAST(get(split({key}, '[|]'), {i}) AS INT)" for i in range(len(radices))]
     out, stride = [], 1
     for r in radices:
-        whole = F.call_function("div", key, F.lit(stride).cast("bigint")) if stride > 1 else key
-        out.append(F.pmod(whole, F.lit(r).cast("bigint")).cast("int"))
+        whole = f"({key} DIV {stride}L)" if stride > 1 else key
+        out.append(f"CAST({whole} % {r}L AS INT)")
         stride *= r
     return out
 
@@ -87,11 +79,11 @@ class Grid:
             return len(v.values)
         return 1 if v.is_constant else self.schema.n_labels - 1
 
-    def low_label(self, i: int, cell: Column) -> Column:
-        return F.lit(0) if self.schema.variables[i].is_constant else cell
+    def low_label(self, i: int, cell: str) -> str:
+        return "0" if self.schema.variables[i].is_constant else cell
 
-    def high_label(self, i: int, cell: Column) -> Column:
-        return F.lit(self.schema.n_labels - 1) if self.schema.variables[i].is_constant else cell + 1
+    def high_label(self, i: int, cell: str) -> str:
+        return str(self.schema.n_labels - 1) if self.schema.variables[i].is_constant else f"({cell} + 1)"
 
 
 def k_col(i):
@@ -110,78 +102,71 @@ def own_col(i):
     return f"__o{i}"
 
 
+def real(v: float) -> str:
+    """A double literal of SQL text with every digit of ``v``."""
+    return f"({float(v)!r}D)"
+
+
+def _pick(values, index: str) -> str:
+    """SQL for the entry of a short list of doubles at ``index``."""
+    if len(values) == 1:
+        return real(values[0])
+    if len(values) <= 3:
+        whens = " ".join(f"WHEN {k} THEN {real(v)}" for k, v in enumerate(values[:-1]))
+        return f"CASE {index} {whens} ELSE {real(values[-1])} END"
+    return f"get(array({', '.join(real(v) for v in values)}), {index})"
+
+
 def place(df: DataFrame, grid: Grid, keep, own: bool = True) -> DataFrame:
     """Cell, both degrees and (``own``) the nearer corner for each feature.
 
-    Built as three projections so each break point is found once per row.
+    Three projections, so each break point is found once per row. Degrees are
+    never null, which keeps the compiled products free of null checks.
     """
     schema, n = grid.schema, grid.schema.n_labels
-    keep = list(keep)
     cells, ends, degrees = [], [], []
     for i, v in enumerate(schema.variables):
-        x = F.col(x_col(i))
+        x, k, a, b = x_col(i), k_col(i), f"__a{i}", f"__b{i}"
         if not v.is_numeric:
-            cells.append(x.alias(k_col(i)))
-            ends.append(F.col(k_col(i)))
-            degrees.append(F.col(k_col(i)))
+            cells.append(f"{x} AS {k}")
+            ends.append(k)
+            degrees.append(k)
             continue
         p, c = peaks(v.lower, v.upper, n), cuts(v.lower, v.upper, n)
         if v.is_constant:
-            hit = F.when(x == p[0], 1.0).otherwise(0.0)
-            cells += [F.lit(0).alias(k_col(i)), x]
-            ends += [F.col(k_col(i)), x]
-            degrees += [F.col(k_col(i)), hit.alias(lo_col(i)), hit.alias(hi_col(i))]
+            cells += [f"0 AS {k}", x]
+            ends += [k, x]
+            hit = f"coalesce(IF({x} = {real(p[0])}, 1D, 0D), 0D)"
+            degrees += [k, f"{hit} AS {lo_col(i)}", f"{hit} AS {hi_col(i)}"]
             if own:
-                degrees.append(F.when(x < c[0], 0).otherwise(1).alias(own_col(i)))
+                degrees.append(f"IF({x} < {real(c[0])}, 0, 1) AS {own_col(i)}")
             continue
-        cell = F.lit(n - 2)
-        if n > 2:
-            cell = F.when(x < p[1], 0)
-            for k in range(2, n - 1):
-                cell = cell.when(x < p[k], k - 1)
-            cell = cell.otherwise(n - 2)
-        table = F.array(*[F.lit(v_) for v_ in p])
-        cells += [cell.alias(k_col(i)), x]
-        a, b = f"__a{i}", f"__b{i}"
-        ends += [
-            F.col(k_col(i)),
-            x,
-            F.get(table, F.col(k_col(i))).alias(a),
-            F.get(table, F.col(k_col(i)) + 1).alias(b),
-        ]
-        inside = (F.col(a) <= x) & (x <= F.col(b))
-        width = F.col(b) - F.col(a)
+        whens = " ".join(f"WHEN {x} < {real(p[j])} THEN {j - 1}" for j in range(1, n - 1))
+        cells += [f"CASE {whens} ELSE {n - 2} END AS {k}" if whens else f"0 AS {k}", x]
+        ends += [k, x, f"{_pick(p[:-1], k)} AS {a}", f"{_pick(p[1:], k)} AS {b}"]
+        inside = f"{a} <= {x} AND {x} <= {b}"
         degrees += [
-            F.col(k_col(i)),
-            F.when(inside, (F.col(b) - x) / width).otherwise(0.0).alias(lo_col(i)),
-            F.when(inside, (x - F.col(a)) / width).otherwise(0.0).alias(hi_col(i)),
+            k,
+            f"coalesce(IF({inside}, ({b} - {x}) / ({b} - {a}), 0D), 0D) AS {lo_col(i)}",
+            f"coalesce(IF({inside}, ({x} - {a}) / ({b} - {a}), 0D), 0D) AS {hi_col(i)}",
         ]
         if own:
-            cut_table = F.array(*[F.lit(v_) for v_ in c])
-            nearer = F.when(x < F.get(cut_table, F.col(k_col(i))), 0).otherwise(1)
-            degrees.append(nearer.alias(own_col(i)))
-    return df.select(*keep, *cells).select(*keep, *ends).select(*keep, *degrees)
+            degrees.append(f"IF({x} < {_pick(c, k)}, 0, 1) AS {own_col(i)}")
+    keep = list(keep)
+    return df.selectExpr(*keep, *cells).selectExpr(*keep, *ends).selectExpr(*keep, *degrees)
 
 
-def corner_products(df: DataFrame, features, keep, start: Column | None = None):
-    """Degree of every corner of ``features`` as columns ``__p0 …``.
+def corner_products(features, start: str = "") -> list[str]:
+    """SQL for the degree of every corner of ``features``.
 
     Bit ``j`` of the corner number says that feature ``j`` takes its upper
-    label. The products grow one feature at a time, in feature order, so the
-    shared front of a product is multiplied once.
+    label. Factors stand in feature order, so corners share the front of their
+    products and Spark works each of those out once.
     """
-    keep = list(keep)
-    features = list(features)
-    pair_cols = [c for i in features for c in (lo_col(i), hi_col(i))]
-    df = df.select(*keep, *pair_cols, (start if start is not None else F.lit(1.0)).alias("__p0"))
-    names = ["__p0"]
-    for j, i in enumerate(features):
-        rest = [c for r in features[j + 1 :] for c in (lo_col(r), hi_col(r))]
-        low = [(F.col(p) * F.col(lo_col(i))).alias(f"__p{j + 1}_{b}") for b, p in enumerate(names)]
-        high = [
-            (F.col(p) * F.col(hi_col(i))).alias(f"__p{j + 1}_{b + len(names)}") for b, p in enumerate(names)
-        ]
-        df = df.select(*keep, *rest, *low, *high)
-        names = [f"__p{j + 1}_{b}" for b in range(2 * len(names))]
-    df = df.select(*keep, *[F.col(p).alias(f"__p{b}") for b, p in enumerate(names)])
-    return df, [f"__p{b}" for b in range(len(names))]
+    out = []
+    for corner in range(1 << len(features)):
+        factors = [start] if start else []
+        for j, i in enumerate(features):
+            factors.append(hi_col(i) if corner >> j & 1 else lo_col(i))
+        out.append(" * ".join(factors) or "1D")
+    return out

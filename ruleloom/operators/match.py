@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.operators.encode import CLASS, antecedents_of
-from ruleloom.operators.grid import KEY_LIMIT, Grid, hi_col, k_col, lo_col, pack, place
+from ruleloom.operators.encode import antecedents_of
+from ruleloom.operators.grid import Grid, hi_col, k_col, lo_col, pack, place
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
 
@@ -35,34 +35,20 @@ class Blocks:
 
 
 def block_positions(schema: RuleSchema, positions) -> list[int]:
-    """Nominal features (a row has one value) and the first few numeric ones."""
-    grid, out, total, numeric = Grid(schema), [], 1, 0
-    for i in [p for p in positions if p in schema.nominal_positions] + [
-        p for p in positions if p in schema.numeric_positions
-    ]:
-        if schema.variables[i].is_numeric:
-            if numeric == BLOCK_FEATURES:
-                continue
-            numeric += 1
-        if total * grid.n_cells(i) >= KEY_LIMIT:
-            continue
-        total *= grid.n_cells(i)
-        out.append(i)
-    return sorted(out)
+    """All nominal features (a row has one value) and the first few numeric ones."""
+    numeric = [p for p in positions if schema.variables[p].is_numeric][:BLOCK_FEATURES]
+    return sorted(numeric + [p for p in positions if not schema.variables[p].is_numeric])
 
 
 def reach(df: DataFrame, grid: Grid, i: int) -> DataFrame:
     """Add ``__c{i}``/``__b{i}``: each cell a rule's label touches and its side."""
-    label = F.get(F.col("ants"), F.lit(i))
+    label, last = f"get(ants, {i})", grid.schema.n_labels - 1
     if grid.schema.variables[i].is_constant:
-        side = F.when(label == 0, 0).when(label == grid.schema.n_labels - 1, 1)
-        return df.withColumns({f"__c{i}": F.lit(0), f"__b{i}": side}).filter(F.col(f"__b{i}").isNotNull())
-    options = F.array(
-        F.struct((label - 1).alias("c"), F.lit(1).alias("b")), F.struct(label.alias("c"), F.lit(0).alias("b"))
-    )
-    df = df.withColumn("__r", F.explode(options))
-    df = df.withColumns({f"__c{i}": F.col("__r.c"), f"__b{i}": F.col("__r.b")}).drop("__r")
-    return df.filter((F.col(f"__c{i}") >= 0) & (F.col(f"__c{i}") < grid.n_cells(i)))
+        sides = f"array(struct(0, CASE {label} WHEN 0 THEN 0 WHEN {last} THEN 1 END))"
+        return df.selectExpr("*", f"inline({sides}) AS (__c{i}, __b{i})").filter(f"__b{i} IS NOT NULL")
+    sides = f"array(struct({label} - 1, 1), struct({label}, 0))"
+    df = df.selectExpr("*", f"inline({sides}) AS (__c{i}, __b{i})")
+    return df.filter(f"__c{i} BETWEEN 0 AND {grid.n_cells(i) - 1}")
 
 
 def rule_blocks(
@@ -85,50 +71,48 @@ def rule_blocks(
     for i in block_on:
         if schema.variables[i].is_numeric:
             df = reach(df, grid, i)
-            cells.append(F.col(f"__c{i}"))
+            cells.append(f"__c{i}")
         else:
-            cells.append(F.get(F.col("ants"), F.lit(i)))
-    df = df.select(*group, *carry, "ants", pack(cells, [grid.n_cells(i) for i in block_on]).alias("block"))
+            cells.append(f"get(ants, {i})")
+    # Where the rule's labels stand in a row's list of degrees.
+    n = schema.n_labels
+    numeric = [i for i in positions if schema.variables[i].is_numeric]
+    places = ", ".join(f"get(ants, {i}) + {n * j}" for j, i in enumerate(numeric))
+    block = pack(cells, [grid.n_cells(i) for i in block_on])
+    df = df.selectExpr(*group, *carry, f"array({places}) AS places", f"{block} AS block")
     salts = 1 if small else params.salt_buckets
     if not small:
-        df = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        df = df.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
     return Blocks(df, list(positions), block_on, small, salts)
 
 
 def row_pairs(
     encoded: DataFrame, schema: RuleSchema, group, positions, keep, salt_by: Column | None, blocks: Blocks
 ) -> DataFrame:
-    """Rows with their block and, per feature, the two labels they touch.
+    """Rows with their block and the list ``mu`` of their degrees.
 
-    ``g`` holds ``(lo, hi, mu_lo, mu_hi)`` per feature in order; a nominal value
-    is one label of degree 1. Rows without a block (unknown value) fall out of
+    ``mu`` holds, feature by feature, the degree in every label; nominal features
+    are all part of the block. Rows without a block (unknown value) fall out of
     the join.
     """
-    grid = Grid(schema)
+    grid, n = Grid(schema), schema.n_labels
     placed = place(encoded, grid, [*group, *keep], own=False)
-    touched = []
+    degrees = []
     for i in positions:
-        k = F.col(k_col(i))
-        if schema.variables[i].is_numeric:
-            touched.append(
-                F.struct(
-                    grid.low_label(i, k).alias("lo"),
-                    grid.high_label(i, k).alias("hi"),
-                    F.col(lo_col(i)).alias("mu_lo"),
-                    F.col(hi_col(i)).alias("mu_hi"),
-                )
-            )
-        else:
-            touched.append(
-                F.struct(k.alias("lo"), k.alias("hi"), F.lit(1.0).alias("mu_lo"), F.lit(1.0).alias("mu_hi"))
-            )
-    known = F.lit(True)
-    for i in blocks.block_on:
-        known = known & (F.col(k_col(i)) >= 0)
-    block = pack([F.col(k_col(i)) for i in blocks.block_on], [grid.n_cells(i) for i in blocks.block_on])
-    out = placed.select(*group, *keep, F.when(known, block).alias("block"), F.array(*touched).alias("g"))
+        if not schema.variables[i].is_numeric:
+            continue
+        k, lo, hi = k_col(i), lo_col(i), hi_col(i)
+        for label in range(n):
+            low = f"{grid.low_label(i, k)} = {label}"
+            high = f"{grid.high_label(i, k)} = {label}"
+            degrees.append(f"CASE WHEN {low} THEN {lo} WHEN {high} THEN {hi} ELSE 0D END")
+    known = " AND ".join([f"{k_col(i)} >= 0" for i in blocks.block_on] or ["true"])
+    block = pack([k_col(i) for i in blocks.block_on], [grid.n_cells(i) for i in blocks.block_on])
+    out = placed.selectExpr(
+        *group, *keep, f"IF({known}, {block}, NULL) AS block", f"array({', '.join(degrees)}) AS mu"
+    )
     if blocks.salts > 1:
-        spread = salt_by if salt_by is not None else F.xxhash64("g", *keep)
+        spread = salt_by if salt_by is not None else F.xxhash64("mu", *keep)
         out = out.withColumn("salt", F.pmod(spread, F.lit(blocks.salts)).cast("int"))
     return out
 
@@ -137,14 +121,5 @@ def pair_degrees(rows: DataFrame, blocks: Blocks, group, out) -> DataFrame:
     """Join rows and rules on the block; keep pairs of positive degree."""
     on = [*group, "block"] + (["salt"] if blocks.salts > 1 else [])
     table = F.broadcast(blocks.table) if blocks.broadcast else blocks.table
-    pairs = rows.join(table, on)
-    antecedent = F.col("ants")
-    if len(blocks.positions) and blocks.positions != list(range(blocks.positions[-1] + 1)):
-        raise ValueError("block positions must be a prefix of the features")
-    terms = F.zip_with(
-        F.col("g"),
-        F.slice(antecedent, 1, len(blocks.positions)),
-        lambda t, a: F.when(a == t["lo"], t["mu_lo"]).when(a == t["hi"], t["mu_hi"]).otherwise(0.0),
-    )
-    degree = F.aggregate(terms, F.lit(1.0), lambda acc, m: acc * m)
-    return pairs.select(*group, *out, degree.alias("degree")).filter(F.col("degree") > 0)
+    degree = "aggregate(places, 1D, (acc, p) -> acc * get(mu, p)) AS degree"
+    return rows.join(table, on).selectExpr(*group, *out, degree).filter("degree > 0")

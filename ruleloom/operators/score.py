@@ -9,7 +9,7 @@ numeric features need pairs of rows and rules, which are reduced per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.membership import association, tick
@@ -40,32 +40,32 @@ def cell_rules(rules: DataFrame, schema: RuleSchema, group=(), extra=()) -> Data
     """
     grid = Grid(schema)
     df = rules.select(*group, CLASS, "weight", *extra, antecedents_of(F.col("rule_key")).alias("ants"))
-    cells, corner = [], F.lit(0)
+    cells, corner = [], ["0"]
     for i in range(len(schema.variables)):
         if schema.variables[i].is_numeric:
             df = reach(df, grid, i)
-            cells.append(F.col(f"__c{i}"))
-            corner = corner + F.col(f"__b{i}") * (1 << grid.numeric.index(i))
+            cells.append(f"__c{i}")
+            corner.append(f"__b{i} * {1 << grid.numeric.index(i)}")
         else:
-            cells.append(F.get(F.col("ants"), F.lit(i)))
-    entry = F.struct(corner.alias("corner"), F.col(CLASS).alias("c"), F.col("weight").alias("w"), *extra)
-    df = df.select(*group, pack(cells, cell_radices(grid)).alias("cell"), entry.alias("e"))
+            cells.append(f"get(ants, {i})")
+    named = "".join(f", '{c}', {c}" for c in extra)
+    entry = f"named_struct('corner', {' + '.join(corner)}, 'c', {CLASS}, 'w', weight{named}) AS e"
+    df = df.selectExpr(*group, f"{pack(cells, cell_radices(grid))} AS cell", entry)
     return df.groupBy(*group, "cell").agg(F.collect_list("e").alias("fired"))
 
 
-def _dense(table: DataFrame, grid: Grid, group) -> DataFrame:
-    """Corner-indexed arrays of class and weight; weight 0 where no rule sits."""
-    by_corner = F.map_from_entries(F.transform("fired", lambda e: F.struct(e["corner"], e)))
-    corners = F.sequence(F.lit(0), F.lit((1 << len(grid.numeric)) - 1))
-    return (
-        table.withColumn("m", by_corner)
-        .select(
-            *group,
-            "cell",
-            F.transform(corners, lambda b: F.coalesce(F.try_element_at(F.col("m"), b)["w"], F.lit(0.0))).alias("w"),
-            F.transform(corners, lambda b: F.coalesce(F.try_element_at(F.col("m"), b)["c"], F.lit(0))).alias("c"),
-        )
-    )
+def _dense(table: DataFrame, grid: Grid, n_classes: int, group) -> DataFrame:
+    """One column ``w{b}`` per corner (0 where no rule sits) and, per class, the
+    bit set ``m`` of the corners whose rule has that class."""
+    n = 1 << len(grid.numeric)
+    at = "try_element_at(map_from_entries(transform(fired, e -> struct(e.corner, e.w))), b)"
+    bits = "aggregate(fired, 0L, (acc, e) -> acc | IF(e.c = k, shiftleft(1L, e.corner), 0L))"
+    return table.selectExpr(
+        *group,
+        "cell",
+        f"transform(sequence(0, {n - 1}), b -> coalesce({at}, 0D)) AS w",
+        f"transform(sequence(0, {n_classes - 1}), k -> {bits}) AS m",
+    ).selectExpr(*group, "cell", "m", *[f"w[{b}] AS w{b}" for b in range(n)])
 
 
 def table_fits(rules: DataFrame, grid: Grid, params: Params, n_groups: int = 1) -> bool:
@@ -86,14 +86,13 @@ def table_fits(rules: DataFrame, grid: Grid, params: Params, n_groups: int = 1)
 def place_rows(encoded: DataFrame, grid: Grid, keep) -> DataFrame:
     """Rows with their packed cell (null for unknown values) and degrees."""
     placed = place(encoded, grid, keep, own=False)
-    known = F.lit(True)
-    for i in grid.schema.nominal_positions:
-        known = known & (F.col(k_col(i)) >= 0)
-    order = range(len(grid.schema.variables))
-    cell = pack([F.col(k_col(i)) for i in order], cell_radices(grid))
-    if grid.schema.nominal_positions:
-        cell = F.when(known, cell)
-    return placed.select(*keep, cell.alias("cell"), *[c for i in grid.numeric for c in (lo_col(i), hi_col(i))])
+    cell = pack([k_col(i) for i in range(len(grid.schema.variables))], cell_radices(grid))
+    known = " AND ".join(f"{k_col(i)} >= 0" for i in grid.schema.nominal_positions)
+    if known:
+        cell = f"IF({known}, {cell}, NULL)"
+    return placed.selectExpr(
+        *keep, f"{cell} AS cell", *[c for i in grid.numeric for c in (lo_col(i), hi_col(i))]
+    )
 
 
 def look_up(rows: DataFrame, table: DataFrame, fits: bool, params: Params, group, how: str = "left") -> DataFrame:
@@ -109,50 +108,63 @@ def look_up(rows: DataFrame, table: DataFrame, fits: bool, params: Params, group
     return rows.join(table, [*on, "salt"], how).drop("salt")
 
 
-def choose(terms, n_classes: int, inference: str, default: int) -> tuple[Column, Column]:
-    """Predicted class and degree from ``(association, class)`` column pairs.
+def corner_degree(grid: Grid, corner: str) -> str:
+    """SQL for the degree of a corner whose number is known only at run time."""
+    factors = [
+        f"IF(getbit({corner}, {j}) = 1, {hi_col(i)}, {lo_col(i)})" for j, i in enumerate(grid.numeric)
+    ]
+    return " * ".join(factors) or "1D"
+
+
+def choose(df: DataFrame, keep, n_corners: int, n_classes: int, inference: str, default: int) -> DataFrame:
+    """Prediction from the associations ``__a*`` of all corners and the class bits.
 
     Equal degrees go to the lowest class; no degree above zero to the default.
+    The strongest corners are gathered as a bit set and met with the class bits:
+    short code, since a longer method would not be compiled by the JVM.
     """
+    a = [f"__a{b}" for b in range(n_corners)]
     if inference == "winning_rule":
-        best = F.array_max(F.array(*[F.struct(a.alias("a"), (-c).alias("c")) for a, c in terms]))
-        degree = best["a"]
-        fired = degree > 0
-    else:
-        sums = []
-        for k in range(n_classes):
-            votes = None
-            for a, c in terms:
-                v = F.when(c == k, a).otherwise(0.0)
-                votes = v if votes is None else votes + v
-            sums.append(F.struct(tick(votes).alias("t"), F.lit(-k).alias("c"), votes.alias("a")))
-        best = F.array_max(F.array(*sums))
-        degree = best["a"]
-        fired = best["t"] > 0
-    return F.when(fired, -best["c"]).otherwise(F.lit(default)), F.when(fired, degree).otherwise(F.lit(0.0))
-
-
-def choose_listed(fired: Column, degree_of, n_classes: int, inference: str, default: int) -> tuple[Column, Column]:
-    """As :func:`choose`, over a list column of ``(corner, c, w)`` entries."""
-    scored = F.transform(
-        fired, lambda e: F.struct(association(degree_of(e["corner"]), e["w"]).alias("a"), (-e["c"]).alias("c"))
+        top = f"greatest({', '.join(a)})" if n_corners > 1 else a[0]
+        df = df.selectExpr(*keep, *a, "m", f"{top} AS degree")
+        best = " | ".join(f"IF({x} >= degree, {1 << b}L, 0L)" for b, x in enumerate(a))
+        df = df.selectExpr(*keep, "m", "degree", f"IF(degree > 0D, {best}, 0L) AS best")
+        whens = " ".join(f"WHEN get(m, {k}) & best <> 0L THEN {k}" for k in range(n_classes))
+        return df.selectExpr(*keep, f"CASE {whens} ELSE {default} END AS predicted", "degree")
+    votes = [
+        " + ".join(f"IF(get(m, {k}) & {1 << b}L <> 0L, {x}, 0D)" for b, x in enumerate(a)) + f" AS __v{k}"
+        for k in range(n_classes)
+    ]
+    return vote(df.selectExpr(*keep, *votes), keep, n_classes, default)
+
+
+def vote(df: DataFrame, keep, n_classes: int, default: int) -> DataFrame:
+    """Prediction from the summed votes ``__v*`` per class, compared to 12 places."""
+    entries = ", ".join(
+        f"named_struct('t', floor(__v{k} * 1e12D + 0.5D), 'c', {-k}, 'a', __v{k})" for k in range(n_classes)
+    )
+    df = df.selectExpr(*keep, f"array_max(array({entries})) AS b")
+    return df.selectExpr(
+        *keep,
+        f"CAST(IF(b.t > 0, -b.c, {default}) AS INT) AS predicted",
+        "IF(b.t > 0, b.a, 0D) AS degree",
     )
-    if inference == "winning_rule":
-        best = F.array_max(scored)
-        hit = best["a"] > 0
-    else:
 
-        def votes(k):
-            total = F.aggregate(
-                scored, F.lit(0.0), lambda acc, e: acc + F.when(e["c"] == -k, e["a"]).otherwise(F.lit(0.0))
-            )
-            return F.struct(tick(total).alias("t"), (-k).alias("c"), total.alias("a"))
 
-        classes = F.sequence(F.lit(0), F.lit(n_classes - 1))
-        best = F.array_max(F.transform(classes, votes))
-        hit = best["t"] > 0
-    hit = F.coalesce(hit, F.lit(False))
-    return F.when(hit, -best["c"]).otherwise(F.lit(default)), F.when(hit, best["a"]).otherwise(F.lit(0.0))
+def choose_listed(df: DataFrame, keep, grid: Grid, n_classes: int, inference: str, default: int) -> DataFrame:
+    """As :func:`choose`, over the list ``fired`` of ``(corner, c, w)`` entries."""
+    scored = f"transform(fired, e -> named_struct('a', {corner_degree(grid, 'e.corner')} * e.w, 'c', -e.c))"
+    if inference == "winning_rule":
+        df = df.selectExpr(*keep, f"array_max({scored}) AS b")
+        return df.selectExpr(
+            *keep,
+            f"CAST(IF(coalesce(b.a > 0D, false), -b.c, {default}) AS INT) AS predicted",
+            "IF(coalesce(b.a > 0D, false), b.a, 0D) AS degree",
+        )
+    total = "coalesce(aggregate(s, 0D, (acc, e) -> acc + IF(e.c = {k}, e.a, 0D)), 0D) AS __v{j}"
+    df = df.selectExpr(*keep, f"{scored} AS s")
+    df = df.selectExpr(*keep, *[total.format(k=-k, j=k) for k in range(n_classes)])
+    return vote(df, keep, n_classes, default)
 
 
 def score_encoded(
@@ -168,32 +180,17 @@ def score_encoded(
     table = cell_rules(rules, schema, group)
     fits = table_fits(rules, grid, params, n_groups)
     n_corners = 1 << len(grid.numeric)
-    unrolled = len(grid.numeric) <= CORE and n_corners * (1 if params.inference == "winning_rule" else n_classes) <= UNROLL_TERMS
-    if unrolled:
-        hit = look_up(rows, _dense(table, grid, group), fits, params, group)
-        hit, products = corner_products(hit, grid.numeric, [*carried, "w", "c"])
-        hit = hit.select(
-            *carried,
-            *[
-                association(F.col(p), F.coalesce(F.get("w", F.lit(b)), F.lit(0.0))).alias(f"__a{b}")
-                for b, p in enumerate(products)
-            ],
-            "c",
-        )
-        terms = [(F.col(f"__a{b}"), F.coalesce(F.get("c", F.lit(b)), F.lit(0))) for b in range(n_corners)]
-        predicted, degree = choose(terms, n_classes, params.inference, default)
-    else:
+    terms = n_corners * (1 if params.inference == "winning_rule" else n_classes)
+    if len(grid.numeric) > CORE or terms > UNROLL_TERMS:
         hit = look_up(rows, table, fits, params, group)
-        bits = [(1 << j, lo_col(i), hi_col(i)) for j, i in enumerate(grid.numeric)]
-
-        def degree_of(corner):
-            out = F.lit(1.0)
-            for bit, lo, hi in bits:
-                out = out * F.when(corner.bitwiseAND(F.lit(bit)) != 0, F.col(hi)).otherwise(F.col(lo))
-            return out
-
-        predicted, degree = choose_listed(F.col("fired"), degree_of, n_classes, params.inference, default)
-    return hit.select(*keep, predicted.cast("int").alias("predicted"), degree.alias("degree"))
+        return choose_listed(hit, keep, grid, n_classes, params.inference, default)
+    hit = look_up(rows, _dense(table, grid, n_classes, group), fits, params, group)
+    products = [
+        f"{p} * coalesce(w{b}, 0D) AS __a{b}" for b, p in enumerate(corner_products(grid.numeric))
+    ]
+    return choose(
+        hit.selectExpr(*keep, *products, "m"), keep, n_corners, n_classes, params.inference, default
+    )
 
 
 def fired_rules(
@@ -209,16 +206,12 @@ def fired_rules(
         rows = place_rows(encoded, grid, carried)
         hit = look_up(rows, table, table_fits(rules, grid, params, n_groups), params, group, "inner")
         hit = hit.withColumn("e", F.explode("fired"))
-        degree = F.lit(1.0)
-        for j, i in enumerate(grid.numeric):
-            up = F.col("e.corner").bitwiseAND(F.lit(1 << j)) != 0
-            degree = degree * F.when(up, F.col(hi_col(i))).otherwise(F.col(lo_col(i)))
-        pairs = hit.select(
+        pairs = hit.selectExpr(
             *carried,
-            F.col("e.rule_key").alias("rule_key"),
-            F.col("e.c").alias("rule_class"),
-            degree.alias("degree"),
-            F.col("e.w").alias("w"),
+            "e.rule_key AS rule_key",
+            "e.c AS rule_class",
+            f"{corner_degree(grid, 'e.corner')} AS degree",
+            "e.w AS w",
         )
     else:
         positions = list(range(len(schema.variables)))

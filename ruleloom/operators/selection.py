@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from ruleloom.functions.membership import stable
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of, encode
-from ruleloom.operators.grid import Grid, hi_col, lo_col
-from ruleloom.operators.score import cell_rules, default_index, fired_rules, look_up, place_rows, table_fits
+from ruleloom.operators.grid import Grid
+from ruleloom.operators.score import cell_rules, corner_degree, default_index, fired_rules, look_up, place_rows, table_fits
 from ruleloom.operators.weights import keep_rules
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
@@ -195,18 +195,12 @@ def row_rankings(
     placed = place_rows(rows, grid, [CHUNK, "actual"])
     hit = look_up(placed, table, table_fits(chunk_rules, grid, params, params.n_chunks), params, [CHUNK])
 
-    def strength(e):
-        degree = F.lit(1.0)
-        for j, i in enumerate(grid.numeric):
-            up = e["corner"].bitwiseAND(F.lit(1 << j)) != 0
-            degree = degree * F.when(up, F.col(hi_col(i))).otherwise(F.col(lo_col(i)))
-        return degree * e["w"]
-
-    scored = F.transform(
-        "fired", lambda e: F.struct((-strength(e)).alias("s"), e["c"].alias("c"), e["rule_no"].alias("rule_no"))
+    scored = (
+        f"transform(fired, e -> named_struct('s', -({corner_degree(grid, 'e.corner')} * e.w),"
+        " 'c', e.c, 'rule_no', e.rule_no))"
     )
-    ordered = F.array_sort(F.filter(scored, lambda e: e["s"] < 0))
-    ranking = F.transform(ordered, lambda e: F.struct(e["c"].alias("c"), e["rule_no"].alias("rule_no")))
+    ordered = f"array_sort(filter({scored}, e -> e.s < 0))"
+    ranking = F.expr(f"transform({ordered}, e -> named_struct('c', e.c, 'rule_no', e.rule_no))")
     empty = F.array().cast("array<struct<c:int,rule_no:int>>")
     return (
         hit.select(CHUNK, "actual", F.coalesce(ranking, empty).alias("ranking"))

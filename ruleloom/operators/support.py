@@ -46,59 +46,37 @@ def cell_sums(encoded: DataFrame, schema: RuleSchema, group=(CHUNK,), weight_fea
     """
     grid = Grid(schema)
     last = len(schema.variables) - 1
-    skip_last = weight_features == "all_but_last"
     keep = [*group, CLASS]
     df = place(encoded, grid, keep)
-    if skip_last and schema.variables[last].is_numeric:
-        df = df.withColumn(lo_col(last), F.lit(1.0)).withColumn(hi_col(last), F.lit(1.0))
+    if weight_features == "all_but_last" and schema.variables[last].is_numeric:
+        df = df.withColumns({lo_col(last): F.lit(1.0), hi_col(last): F.lit(1.0)})
 
     # Features beyond the core: two rows each, one per reachable label.
-    df = df.withColumn("__deg", F.lit(1.0)).withColumn("__own", F.lit(1))
+    if grid.exploded:
+        df = df.withColumns({"__deg": F.lit(1.0), "__own": F.lit(1)})
     for i in grid.exploded:
-        low = F.struct(
-            grid.low_label(i, F.col(k_col(i))).alias("label"),
-            F.col(lo_col(i)).alias("mu"),
-            (1 - F.col(own_col(i))).alias("own"),
-        )
-        high = F.struct(
-            grid.high_label(i, F.col(k_col(i))).alias("label"),
-            F.col(hi_col(i)).alias("mu"),
-            F.col(own_col(i)).alias("own"),
+        k, own = k_col(i), own_col(i)
+        rest = [c for c in df.columns if c not in (k, own, lo_col(i), hi_col(i), "__deg", "__own")]
+        sides = (
+            f"inline(array(struct({grid.low_label(i, k)}, __deg * {lo_col(i)}, __own * (1 - {own})),"
+            f" struct({grid.high_label(i, k)}, __deg * {hi_col(i)}, __own * {own}))) AS ({k}, __deg, __own)"
         )
-        df = df.withColumn("__e", F.explode(F.array(low, high)))
-        df = df.withColumns(
-            {
-                k_col(i): F.col("__e.label"),
-                "__deg": F.col("__deg") * F.col("__e.mu"),
-                "__own": F.col("__own") * F.col("__e.own"),
-            }
-        ).drop("__e", lo_col(i), hi_col(i), own_col(i))
-        df = df.filter((F.col("__deg") > 0) | (F.col("__own") == 1))
-
-    corner = F.lit(0)
-    for j, i in enumerate(grid.core):
-        corner = corner + F.col(own_col(i)) * (1 << j)
-    own_bit = F.when(F.col("__own") == 1, F.call_function("shiftleft", F.lit(1).cast("bigint"), corner)).otherwise(
-        F.lit(0).cast("bigint")
-    )
-    order = range(len(schema.variables))
-    key = pack([F.col(k_col(i)) for i in order], cell_radices(grid))
-    df, sums = corner_products(
-        df.select(
-            *keep,
-            key.alias("cell"),
-            own_bit.alias("__seen"),
-            "__deg",
-            *[c for i in grid.core for c in (lo_col(i), hi_col(i))],
-        ),
-        grid.core,
-        [*keep, "cell", "__seen"],
-        start=F.col("__deg"),
-    )
-    agg = df.groupBy(*keep, "cell").agg(
-        F.bit_or("__seen").alias("seen"), *[F.sum(p).alias(p) for p in sums]
+        df = df.selectExpr(*rest, sides).filter("__deg > 0 OR __own = 1")
+
+    corner = " + ".join([f"{own_col(i)} * {1 << j}" for j, i in enumerate(grid.core)] or ["0"])
+    bit = f"shiftleft(1L, {corner})"
+    if grid.exploded:
+        bit = f"IF(__own = 1, {bit}, 0L)"
+    key = pack([k_col(i) for i in range(len(schema.variables))], cell_radices(grid))
+    degrees = [c for i in grid.core for c in (lo_col(i), hi_col(i))] + ["__deg"] * bool(grid.exploded)
+    products = corner_products(grid.core, "__deg" if grid.exploded else "")
+    agg = (
+        df.selectExpr(*keep, f"{key} AS cell", f"{bit} AS __seen", *degrees)
+        .groupBy(*keep, "cell")
+        .agg(F.expr("bit_or(__seen) AS seen"), *[F.expr(f"sum({p}) AS __p{b}") for b, p in enumerate(products)])
     )
-    return agg.select(*keep, "cell", "seen", F.array(*sums).alias("s"))
+    sums = ", ".join(f"__p{b}" for b in range(len(products)))
+    return agg.selectExpr(*keep, "cell", "seen", f"array({sums}) AS s")
 
 
 def cell_radices(grid: Grid) -> list[int]:
@@ -119,28 +97,29 @@ def corner_support(cells: DataFrame, schema: RuleSchema, group=(CHUNK,), weight_
     grid = Grid(schema)
     last = len(schema.variables) - 1
     skip_last = weight_features == "all_but_last"
-    index = dict(enumerate(unpack(F.col("cell"), cell_radices(grid))))
-    entries = []
-    for b in range(1 << len(grid.core)):
-        labels = []
-        for i in range(len(schema.variables)):
-            if i in grid.core:
-                up = (b >> grid.core.index(i)) & 1
-                labels.append(grid.high_label(i, index[i]) if up else grid.low_label(i, index[i]))
-            else:
-                labels.append(index[i])
-        # The two corners that differ in a skipped numeric feature carry the
-        # same sum; one of them counts.
-        once = not (skip_last and last in grid.core and (b >> grid.core.index(last)) & 1)
-        entries.append(
-            F.struct(
-                rule_key(labels).alias("rule_key"),
-                rule_key([*labels[:-1], F.lit(NO_LABEL)]).alias("prefix"),
-                (F.get(F.col("s"), F.lit(b)) if once else F.lit(0.0)).alias("deg"),
-                (F.getbit(F.col("seen"), F.lit(b)) == 1).alias("own"),
-            )
-        )
-    corners = cells.select(*group, CLASS, F.inline(F.array(*entries)))
+    indices = unpack("cell", cell_radices(grid))
+    spread = cells.selectExpr(
+        *group, CLASS, "seen", *[f"{e} AS {k_col(i)}" for i, e in enumerate(indices)], "posexplode(s) AS (b, deg)"
+    )
+    labels = []
+    for i in range(len(schema.variables)):
+        k = k_col(i)
+        if i in grid.core:
+            up = f"getbit(b, {grid.core.index(i)}) = 1"
+            labels.append(f"IF({up}, {grid.high_label(i, k)}, {grid.low_label(i, k)})")
+        else:
+            labels.append(k)
+    # The two corners that differ in a skipped numeric feature carry the same
+    # sum; one of them counts.
+    deg = f"IF(getbit(b, {grid.core.index(last)}) = 1, 0D, deg)" if skip_last and last in grid.core else "deg"
+    corners = spread.selectExpr(
+        *group,
+        CLASS,
+        f"concat_ws('|', {', '.join(f'CAST({x} AS STRING)' for x in labels)}) AS rule_key",
+        f"concat_ws('|', {', '.join([f'CAST({x} AS STRING)' for x in labels[:-1]] + [repr(NO_LABEL)])}) AS prefix",
+        f"{deg} AS deg",
+        "getbit(seen, b) = 1 AS own",
+    )
     if not skip_last:
         sums = corners.groupBy(*group, "rule_key", CLASS).agg(
             F.sum("deg").alias("degree_sum"), F.max("own").alias("own")
