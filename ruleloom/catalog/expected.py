@@ -466,8 +466,8 @@ EXPECTED = {
     "ga_select": sql(
         ga_base()
         + ga_children()
-        + [("both", "SELECT * FROM pop UNION ALL SELECT * FROM kids")]
-        + ga_fitness("both"),
+        + [("everyone", "SELECT * FROM pop UNION ALL SELECT * FROM kids")]
+        + ga_fitness("everyone"),
         f"SELECT chunk_id, chrom_id, CAST(place - 1 AS INTEGER) AS rank, round(fitness, 6) AS fitness FROM top WHERE place <= {GA_POP}",
     ),
     "ga_best": sql(

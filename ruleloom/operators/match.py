@@ -44,9 +44,9 @@ def reach(df: DataFrame, grid: Grid, i: int) -> DataFrame:
     """Add ``__c{i}``/``__b{i}``: each cell a rule's label touches and its side."""
     label, last = f"get(ants, {i})", grid.schema.n_labels - 1
     if grid.schema.variables[i].is_constant:
-        sides = f"array(struct(0, CASE {label} WHEN 0 THEN 0 WHEN {last} THEN 1 END))"
+        sides = f"array(named_struct('c', 0, 'b', CASE {label} WHEN 0 THEN 0 WHEN {last} THEN 1 END))"
         return df.selectExpr("*", f"inline({sides}) AS (__c{i}, __b{i})").filter(f"__b{i} IS NOT NULL")
-    sides = f"array(struct({label} - 1, 1), struct({label}, 0))"
+    sides = f"array(named_struct('c', {label} - 1, 'b', 1), named_struct('c', {label}, 'b', 0))"
     df = df.selectExpr("*", f"inline({sides}) AS (__c{i}, __b{i})")
     return df.filter(f"__c{i} BETWEEN 0 AND {grid.n_cells(i) - 1}")
 
@@ -96,6 +96,11 @@ def row_pairs(
     the join.
     """
     grid, n = Grid(schema), schema.n_labels
+    # A row meets many rules here, so the work is in the pairs: too few input
+    # partitions would leave cores idle. Round robin, so equal rows spread out.
+    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    if blocks.broadcast and encoded.rdd.getNumPartitions() < cores:
+        encoded = encoded.repartition(cores)
     placed = place(encoded, grid, [*group, *keep], own=False)
     degrees = []
     for i in positions:

@@ -58,8 +58,9 @@ def cell_sums(encoded: DataFrame, schema: RuleSchema, group=(CHUNK,), weight_fea
         k, own = k_col(i), own_col(i)
         rest = [c for c in df.columns if c not in (k, own, lo_col(i), hi_col(i), "__deg", "__own")]
         sides = (
-            f"inline(array(struct({grid.low_label(i, k)}, __deg * {lo_col(i)}, __own * (1 - {own})),"
-            f" struct({grid.high_label(i, k)}, __deg * {hi_col(i)}, __own * {own}))) AS ({k}, __deg, __own)"
+            f"inline(array(named_struct('k', {grid.low_label(i, k)}, 'd', __deg * {lo_col(i)}, 'o', __own * (1 - {own})),"
+            f" named_struct('k', {grid.high_label(i, k)}, 'd', __deg * {hi_col(i)}, 'o', __own * {own})))"
+            f" AS ({k}, __deg, __own)"
         )
         df = df.selectExpr(*rest, sides).filter("__deg > 0 OR __own = 1")
 
