@@ -11,6 +11,7 @@ from ruleloom.functions.membership import class_index, pick
 from ruleloom.operators import counters, selection
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of, encode, fuzzify, own_labels, rule_key
 from ruleloom.operators.evaluate import accuracy, binary_auc, confusion_matrix, confusion_pivot, mean_auc
+from ruleloom.operators.grid import GRID_FEATURES
 from ruleloom.operators.profile import class_profile, feature_ranges, most_frequent_class, nominal_values, profile
 from ruleloom.operators.score import fired_rules, score
 from ruleloom.operators.support import candidate_rules, rule_support
@@ -37,6 +38,9 @@ def setup(spark: SparkSession, sf_dir: str, ds: D.Dataset, n_labels: int = 3) ->
 
 
 def trained(spark, sf_dir, ds=D.EVENTS, **kw) -> tuple[DataFrame, Model]:
+    if len(ds.numeric) > GRID_FEATURES:
+        # One small file with much work per row: use all cores for the pairs.
+        kw["row_partitions"] = spark.sparkContext.defaultParallelism
     params = Params(**{"rule_weight": "cf", **kw})
     df, schema = setup(spark, sf_dir, ds, params.n_labels)
     return df, learn(df, schema, params, ds.row_id)

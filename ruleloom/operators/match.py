@@ -32,6 +32,7 @@ class Blocks:
     block_on: list[int]
     broadcast: bool
     salts: int
+    row_partitions: int | None = None
 
 
 def block_positions(schema: RuleSchema, positions) -> list[int]:
@@ -83,7 +84,7 @@ def rule_blocks(
     salts = 1 if small else params.salt_buckets
     if not small:
         df = df.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
-    return Blocks(df, list(positions), block_on, small, salts)
+    return Blocks(df, list(positions), block_on, small, salts, params.row_partitions if small else None)
 
 
 def row_pairs(
@@ -96,11 +97,8 @@ def row_pairs(
     the join.
     """
     grid, n = Grid(schema), schema.n_labels
-    # A row meets many rules here, so the work is in the pairs: too few input
-    # partitions would leave cores idle. Round robin, so equal rows spread out.
-    cores = encoded.sparkSession.sparkContext.defaultParallelism
-    if blocks.broadcast and encoded.rdd.getNumPartitions() < cores:
-        encoded = encoded.repartition(cores)
+    if blocks.row_partitions:
+        encoded = encoded.repartition(blocks.row_partitions)
     placed = place(encoded, grid, [*group, *keep], own=False)
     degrees = []
     for i in positions:

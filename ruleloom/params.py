@@ -35,6 +35,11 @@ class Params:
 
     The defaults are the documented ones: three labels, cost-sensitive
     weights, a population of 50 and rule selection switched off.
+
+    ``broadcast_bytes`` bounds every broadcast table; beyond it joins are
+    shuffled with rows spread over ``salt_buckets``. ``row_partitions`` spreads
+    the rows of tables with many numeric features (round robin) before they meet
+    the rules, for inputs with fewer splits than cores.
     """
 
     n_labels: int = 3
@@ -52,6 +57,7 @@ class Params:
     bad_rows: str = "error"
     broadcast_bytes: int = 64 * 1024 * 1024
     salt_buckets: int = 16
+    row_partitions: int | None = None
 
     def __post_init__(self):
         weight = RULE_WEIGHT_NAMES.get(str(self.rule_weight).lower())
