@@ -120,9 +120,15 @@ def row_pairs(
     return out
 
 
-def pair_degrees(rows: DataFrame, blocks: Blocks, group, out) -> DataFrame:
-    """Join rows and rules on the block; keep pairs of positive degree."""
+def pair_degrees(rows: DataFrame, blocks: Blocks, group, out, every_row: bool = False) -> DataFrame:
+    """Join rows and rules on the block; keep pairs of positive degree.
+
+    With ``every_row`` all pairs stay, and rows without rules come once with
+    degree 0, so that an aggregate over the pairs sees every row.
+    """
     on = [*group, "block"] + (["salt"] if blocks.salts > 1 else [])
     table = F.broadcast(blocks.table) if blocks.broadcast else blocks.table
-    degree = "aggregate(places, 1D, (acc, p) -> acc * get(mu, p)) AS degree"
-    return rows.join(table, on).selectExpr(*group, *out, degree).filter("degree > 0")
+    degree = "aggregate(places, 1D, (acc, p) -> acc * get(mu, p))"
+    if every_row:
+        return rows.join(table, on, "left").selectExpr(*group, *out, f"coalesce({degree}, 0D) AS degree")
+    return rows.join(table, on).selectExpr(*group, *out, f"{degree} AS degree").filter("degree > 0")

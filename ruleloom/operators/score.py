@@ -90,9 +90,11 @@ def place_rows(encoded: DataFrame, grid: Grid, keep) -> DataFrame:
     known = " AND ".join(f"{k_col(i)} >= 0" for i in grid.schema.nominal_positions)
     if known:
         cell = f"IF({known}, {cell}, NULL)"
-    return placed.selectExpr(
-        *keep, f"{cell} AS cell", *[c for i in grid.numeric for c in (lo_col(i), hi_col(i))]
-    )
+    degrees = [c for i in grid.numeric for c in (lo_col(i), hi_col(i))]
+    if len(grid.numeric) > CORE:
+        degrees = [c for i in grid.numeric[CORE:] for c in (lo_col(i), hi_col(i))]
+        degrees.append(f"array({', '.join(corner_products(grid.numeric[:CORE]))}) AS __front")
+    return placed.selectExpr(*keep, f"{cell} AS cell", *degrees)
 
 
 def look_up(rows: DataFrame, table: DataFrame, fits: bool, params: Params, group, how: str = "left") -> DataFrame:
@@ -113,6 +115,9 @@ def corner_degree(grid: Grid, corner: str) -> str:
     factors = [
         f"IF(getbit({corner}, {j}) = 1, {hi_col(i)}, {lo_col(i)})" for j, i in enumerate(grid.numeric)
     ]
+    if len(factors) > CORE:
+        # The front of the product is ready for every row, see place_rows.
+        factors[:CORE] = [f"get(__front, {corner} & {(1 << CORE) - 1})"]
     return " * ".join(factors) or "1D"
 
 
@@ -228,39 +233,31 @@ def fired_rules(
 def score_pairs(
     encoded: DataFrame, schema: RuleSchema, rules: DataFrame, params: Params, row_id: str, keep, group=()
 ) -> DataFrame:
-    """Scoring for many numeric features: fired pairs reduced per row.
+    """Scoring for many numeric features: one pass over row and rule pairs.
 
-    Pairs of a row are combined on the map side; rows no rule reaches come back
-    through the left join with the default class.
+    Per row and class the strongest association or the sum is kept, in plain
+    double columns that a hash aggregate combines on the map side. Rows no rule
+    reaches stay in through the outer join and get the default class.
     """
     group = list(group)
-    default = default_index(schema, params)
-    pairs = fired_rules(encoded, schema, rules, params, row_id, group=group)
-    by = list(dict.fromkeys([*group, row_id]))
-    if params.inference == "winning_rule":
-        best = pairs.groupBy(*by).agg(
-            F.max(F.struct(F.col("assoc").alias("a"), (-F.col("rule_class")).alias("c"))).alias("b")
-        )
-    else:
-        votes = pairs.groupBy(*by, "rule_class").agg(F.sum("assoc").alias("a"))
-        best = votes.groupBy(*by).agg(
-            F.max(
-                F.struct(tick(F.col("a")).alias("t"), (-F.col("rule_class")).alias("c"), F.col("a").alias("a"))
-            ).alias("b")
-        )
-    best = best.select(*by, (-F.col("b.c")).alias("p"), F.col("b.a").alias("a"))
+    default, n_classes = default_index(schema, params), len(schema.classes)
+    positions = list(range(len(schema.variables)))
+    named = rules.select(*group, "rule_key", F.col(CLASS).alias("rule_class"), F.col("weight").alias("w"))
+    blocks = rule_blocks(named, schema, params, group, positions, ["rule_class", "w"])
+    others = [c for c in dict.fromkeys([row_id, *keep]) if c not in group]
+    rows = row_pairs(encoded, schema, group, positions, others, F.xxhash64(row_id), blocks)
+    pairs = pair_degrees(rows, blocks, group, [*others, "rule_class", "w"], every_row=True)
+    take = "max" if params.inference == "winning_rule" else "sum"
+    votes = [
+        F.expr(f"{take}(IF(coalesce(rule_class = {k}, false), degree * w, 0D)) AS __v{k}") for k in range(n_classes)
+    ]
+    per_row = pairs.groupBy(*group, *others).agg(*votes)
     if params.inference == "additive":
-        best = best.filter(tick(F.col("a")) > 0)
-    carried = list(dict.fromkeys([*by, *keep]))
-    return (
-        encoded.select(*carried)
-        .join(best, by, "left")
-        .select(
-            *keep,
-            F.coalesce("p", F.lit(default)).cast("int").alias("predicted"),
-            F.coalesce("a", F.lit(0.0)).alias("degree"),
-        )
-    )
+        return vote(per_row, keep, n_classes, default)
+    names = [f"__v{k}" for k in range(n_classes)]
+    top = per_row.selectExpr(*keep, *names, f"greatest({', '.join(names)}) AS degree")
+    whens = " ".join(f"WHEN {v} = degree THEN {k}" for k, v in enumerate(names))
+    return top.selectExpr(*keep, f"IF(degree > 0D, CASE {whens} END, {default}) AS predicted", "degree")
 
 
 def score(
@@ -278,7 +275,7 @@ def score(
 
     Rows of an unknown class are skipped when ``with_actual``; without it the
     label column is not needed. ``row_id`` is optional unless the table has many
-    numeric features. ``group`` names columns that pick a rule base per row.
+    numeric features; there it must be unique. ``group`` names columns that pick a rule base per row.
     """
     cols = [F.col(row_id).alias("row_id")] if row_id else []
     cols += [F.col(c) for c in dict.fromkeys([*keep, *group])]
