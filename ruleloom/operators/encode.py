@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleloom.functions.membership import class_index, membership_vector, nominal_label, numeric_label
+from ruleloom.functions.membership import class_index, cuts, membership_vector, nominal_label
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
 
@@ -31,6 +31,10 @@ def chunk_of(df: DataFrame, row_id: str | None, n_chunks: int) -> Column:
     return F.pmod(key, F.lit(n_chunks)).cast("int")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _fail(message: str) -> Column:
     return F.raise_error(F.lit(message))
 
@@ -57,15 +61,19 @@ def encode(
         out.append(idx.alias(CLASS))
 
     lookups = []
+    types = {f.name: f.dataType for f in df.schema.fields}
     for i, var in enumerate(schema.variables):
-        raw = F.col(var.name)
+        raw = F.col(quoted(var.name))
         if var.is_numeric:
-            is_text = isinstance(df.schema[var.name].dataType, T.StringType)
-            x = raw.try_cast("double") if is_text else raw.cast("double")
+            cast = "try_cast" if isinstance(types[var.name], T.StringType) else "CAST"
+            number = f"{cast}({quoted(var.name)} AS DOUBLE)"
             if bad_rows == "error":
                 # The last argument is never reached; it tells Spark that no null is left.
-                x = F.coalesce(x, _fail(f"column {var.name} has an unreadable number").cast("double"), F.lit(0.0))
-        elif len(var.values) > LOOKUP_FROM and not var.compare_as_number:
+                message = f"column {var.name} has an unreadable number".replace("\\", "").replace("'", "")
+                number = f"coalesce({number}, CAST(raise_error('{message}') AS DOUBLE), 0D)"
+            out.append(F.expr(f"{number} AS {x_col(i)}"))
+            continue
+        if len(var.values) > LOOKUP_FROM and not var.compare_as_number:
             lookups.append(i)
             x = raw.cast("string")
         else:
@@ -95,20 +103,24 @@ def encode(
                 ),
             )
     if bad_rows == "drop":
-        for i, var in enumerate(schema.variables):
-            if var.is_numeric:
-                res = res.filter(F.col(x_col(i)).isNotNull())
-            elif learning:
-                res = res.filter(F.col(x_col(i)) >= 0)
+        good = [f"{x_col(i)} IS NOT NULL" for i in schema.numeric_positions]
+        if learning:
+            good += [f"{x_col(i)} >= 0" for i in schema.nominal_positions]
+        res = res.filter(" AND ".join(good) or "true")
     return res
 
 
 def own_labels(schema: RuleSchema) -> list[Column]:
     """The label of every feature of an encoded row."""
-    return [
-        numeric_label(F.col(x_col(i)), v, schema.n_labels) if v.is_numeric else F.col(x_col(i))
-        for i, v in enumerate(schema.variables)
-    ]
+    out = []
+    for i, v in enumerate(schema.variables):
+        if not v.is_numeric:
+            out.append(F.col(x_col(i)))
+            continue
+        ends = cuts(v.lower, v.upper, schema.n_labels)
+        whens = " ".join(f"WHEN {x_col(i)} < ({c!r}D) THEN {k}" for k, c in enumerate(ends))
+        out.append(F.expr(f"CASE {whens} ELSE {schema.n_labels - 1} END"))
+    return out
 
 
 def rule_key(labels) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ruleloom.operators.encode import quoted
 from ruleloom.schema import NOMINAL, NUMERIC, RuleSchema, Variable
 
 
@@ -100,8 +101,8 @@ def profile(
 
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, name in enumerate(numeric):
-        x = F.col(name).cast("double")
-        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        x = f"CAST({quoted(name)} AS DOUBLE)"
+        aggs += [F.expr(f"min({x}) AS lo{i}"), F.expr(f"max({x}) AS hi{i}")]
     for i, name in enumerate(nominal):
         aggs.append(F.approx_count_distinct(F.col(name)).alias(f"d{i}"))
     # One scan: a row per class with the ranges seen in that class.
