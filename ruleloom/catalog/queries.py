@@ -359,7 +359,7 @@ def q_rule_text(spark, sf_dir):
     df, model = trained(spark, sf_dir, D.DOCUMENTS)
     cls, w = F.col(CLASS), F.round("weight", 6)
     rendered = R.rule_text(model.schema, F.col("antecedents"), cls, F.format_string("%.6f", w))
-    return R.numbered(model.rules).select("rule_no", rendered.alias("rule"))
+    return R.numbered(model.rules, model.schema).select("rule_no", rendered.alias("rule"))
 
 
 def q_compact_rules(spark, sf_dir):

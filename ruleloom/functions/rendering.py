@@ -26,6 +26,9 @@ COUNTER_HEAD = " Average of RB in each Map with total Map = "
 FOLDS_HEAD = " Number of iterations = "
 MEAN_HEAD = " Average AUC = "
 
+# Combinations of leading labels that rule numbering may count in one task.
+MAX_LEADS = 20_000
+
 
 def term_texts(schema: RuleSchema, antecedents: Column) -> list[Column]:
     """``name IS label`` for every feature of a rule."""
@@ -58,22 +61,28 @@ def compact_rule(antecedents: Column, class_idx: Column, weight: Column) -> Colu
     )
 
 
-def numbered(rules: DataFrame, lead: int = 3) -> DataFrame:
+def lead_length(schema: RuleSchema) -> int:
+    """How many leading features have at most ``MAX_LEADS`` label combinations."""
+    total, n = 1, 0
+    for i in range(len(schema.variables)):
+        total *= schema.label_count(i)
+        if total > MAX_LEADS:
+            break
+        n += 1
+    return max(n, 1)
+
+
+def numbered(rules: DataFrame, schema: RuleSchema) -> DataFrame:
     """Rules numbered from 0 in antecedent order.
 
-    The numbers need no single sorted task: rules are counted per leading labels,
-    the counts are added up, and each rule is ranked among those with its own
-    leading labels only.
+    The rules need no single sorted task: they are counted per leading labels,
+    the few counts are added up in order, and each rule is ranked among those
+    with its own leading labels only.
     """
-    rules = rules.withColumn("__lead", F.slice("antecedents", 1, lead))
+    rules = rules.withColumn("__lead", F.slice("antecedents", 1, lead_length(schema)))
     counts = rules.groupBy("__lead").agg(F.count(F.lit(1)).alias("__n"))
-    packed = counts.agg(F.array_sort(F.collect_list(F.struct("__lead", "__n"))).alias("c"))
-    starts = packed.select(F.col("c"), F.posexplode("c").alias("__at", "e")).select(
-        F.col("e.__lead").alias("__lead"),
-        F.aggregate(
-            F.slice(F.col("c"), F.lit(1), F.col("__at")), F.lit(0).cast("bigint"), lambda acc, e: acc + e["__n"]
-        ).alias("__start"),
-    )
+    before = Window.orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__lead", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__lead").orderBy("antecedents"))
     return (
         rules.withColumn("__in", inside)
@@ -89,7 +98,7 @@ def rule_lines(rules: DataFrame, schema: RuleSchema) -> DataFrame:
     a, b = RULE_LINE.split("{number}")
     b = b.split("{rule}")[0]
     line = F.concat(F.lit(a), F.col("rule_no").cast("string"), F.lit(b), text)
-    return numbered(rules).select("rule_no", line.alias("line"))
+    return numbered(rules, schema).select("rule_no", line.alias("line"))
 
 
 def compact_lines(rules: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ def row_pairs(
         *group, *keep, f"IF({known}, {block}, NULL) AS block", f"array({', '.join(degrees)}) AS mu"
     )
     if blocks.salts > 1:
-        spread = salt_by if salt_by is not None else F.xxhash64("mu", *keep)
+        # Copies of one row spread by their input partition, the same on a rerun.
+        spread = salt_by if salt_by is not None else F.xxhash64(F.spark_partition_id(), "mu")
         out = out.withColumn("salt", F.pmod(spread, F.lit(blocks.salts)).cast("int"))
     return out
 

@@ -99,13 +99,18 @@ def place_rows(encoded: DataFrame, grid: Grid, keep) -> DataFrame:
 
 def look_up(rows: DataFrame, table: DataFrame, fits: bool, params: Params, group, how: str = "left") -> DataFrame:
     """Join rows to the cell table; a large table is repeated per salt bucket so
-    that the rows of one hot cell spread over many tasks."""
+    that the rows of one hot cell spread over many tasks.
+
+    The bucket depends on the row's values and its input partition: copies of one
+    row spread too, and a task that runs again takes the same buckets.
+    """
     on = [*group, "cell"]
     if fits:
         return rows.join(F.broadcast(table), on, how)
     salts = params.salt_buckets
-    mixed = [c for c in rows.columns if c.startswith(("__l", "__h"))] or on
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*mixed), F.lit(salts)).cast("int"))
+    mixed = [*on, *[c for c in rows.columns if c.startswith(("__l", "__h"))]]
+    spread = F.xxhash64(F.spark_partition_id(), *mixed)
+    rows = rows.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int"))
     table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(table, [*on, "salt"], how).drop("salt")
 
