@@ -1,11 +1,12 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
-from ruleloom.llm import exact, jaccard, langid, mixing
+from ruleloom.llm import exact, jaccard, langid, mixing, phrases
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_language_id": langid.op2,
     "op4_ngram_jaccard": jaccard.op4,
+    "op6_repeated_passages": phrases.op6,
     "op7_exact_dedup": exact.op7,
 }
 

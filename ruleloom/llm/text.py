@@ -122,3 +122,13 @@ def inner_grams(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(grams)]
     whole = np.flatnonzero(np.arange(len(grams)) + n <= at[1:][text]) if len(grams) else np.zeros(0, np.int64)
     return grams[whole], whole, text[whole]
+
+
+def ranges(bounds: np.ndarray, most_bytes: int = 1 << 22, most_texts: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Index ranges of texts that are together short enough, or one text alone."""
+    k = 0
+    while k < len(bounds) - 1:
+        end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + most_bytes, "right")) - 1)
+        end = min(end, k + most_texts)
+        yield k, end
+        k = end
