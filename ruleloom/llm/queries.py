@@ -1,6 +1,6 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
-from ruleloom.llm import exact, jaccard, langid, mixing, phrases
+from ruleloom.llm import exact, jaccard, langid, mixing, phrases, tokenfile, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -8,6 +8,8 @@ QUERIES = {
     "op4_ngram_jaccard": jaccard.op4,
     "op6_repeated_passages": phrases.op6,
     "op7_exact_dedup": exact.op7,
+    "op8_token_file": tokenfile.op8,
+    "op9_toxicity": toxicity.op9,
 }
 
 ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op7_exact_dedup": exact.SQL}
