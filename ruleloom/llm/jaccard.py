@@ -46,7 +46,7 @@ TOKEN = np.dtype([("token", "<u8"), ("class", "<i8")])
 SHARED = np.dtype([("class", "<i8"), ("token", "<u8"), ("k", "<i8")])
 MATRIX = np.dtype([("token", "<u8"), ("class", "<i8"), ("group", "<i8"), ("need", "<i4"), ("role", "<i4")])
 HIT = np.dtype([("class", "<i8"), ("group", "<i8"), ("need", "<i4"), ("hits", "<i4")])
-MEMBER, QUERY = 1, 2
+MEMBER, QUERY, FIRST = 1, 2, 4
 
 
 class Rule:
@@ -235,6 +235,7 @@ def _assign(rule: Rule, shard: int, buckets: int):
         out["need"] = np.repeat(rule.slack(n), sizes)
         row_role = np.repeat(role, sizes)
         out["role"] = (row_role & MEMBER) | np.where(in_query > 0, row_role & QUERY, 0)
+        out["role"][heads] |= np.where(member, FIRST, 0)
         out = out[row_role > 0]
         return pa.Table.from_batches([packed(out, (mixed(out["token"]) % np.uint64(buckets)).astype(np.int32))])
 
@@ -286,10 +287,10 @@ def _opened(table: pa.Table) -> pa.Table:
 
 
 def _members(table: pa.Table) -> pa.Table:
+    """Member classes with their groups, each from its record of the group's own token."""
     m = unpacked(table.column("records"), MATRIX)
-    m = m[(m["role"] & MEMBER) > 0]
-    _, first = np.unique(m["class"], return_index=True)
-    return pa.table({"class": pa.array(m["class"][first]), "group": pa.array(m["group"][first])})
+    m = m[(m["role"] & FIRST) > 0]
+    return pa.table({"class": pa.array(m["class"]), "group": pa.array(m["group"])})
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -373,7 +374,7 @@ def near_components(docs: DataFrame, shingle: int = 4, percent: int = 85, shard:
     matrix = written(shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_assign(rule, shard, buckets), PACKED), "matrix")
     hits = regrouped(matrix, MATRIX, _bound(buckets))
     opened = cut_lineage(hits.groupBy("bucket").applyInArrow(_opened, "class long, group long"))
-    members = cut_lineage(matrix.groupBy("bucket").applyInArrow(_members, "class long, group long").distinct())
+    members = cut_lineage(matrix.groupBy("bucket").applyInArrow(_members, "class long, group long"))
 
     in_play = opened.select("class").union(members.join(opened.select("group").distinct(), "group", "left_semi").select("class")).distinct()
     chosen = cut_lineage(in_play.join(classes.select("class", "least_id", *key), "class"))
