@@ -70,8 +70,8 @@ def _blocks(data: np.ndarray, bounds: np.ndarray, parting: np.ndarray) -> Iterat
         k = last
 
 
-def _block_words(raw: np.ndarray, firsts: np.ndarray, lower: bool, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and hashes of the words of one block; ``firsts`` are the texts' first bytes."""
+def _block_words(raw: np.ndarray, firsts: np.ndarray, lower: bool, parting: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the words of one block, hashes of the words and of their stems; ``firsts`` are the texts' first bytes."""
     inside = ~parting[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -79,7 +79,7 @@ def _block_words(raw: np.ndarray, firsts: np.ndarray, lower: bool, parting: np.n
     begins[firsts] = inside[firsts]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64)
+        return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     kept = np.flatnonzero(inside).astype(np.int32)
     heads = np.searchsorted(kept, starts.astype(np.int32))
     lengths = np.diff(np.r_[heads, len(kept)])
@@ -91,18 +91,28 @@ def _block_words(raw: np.ndarray, firsts: np.ndarray, lower: bool, parting: np.n
     for i in np.flatnonzero(lengths > LONG_WORD):
         word = letters[heads[i] : heads[i] + lengths[i]].tobytes()
         hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return starts, lengths, mixed(hashes)
+    stems = np.zeros(len(starts) if stem else 0, np.uint64)
+    if stem:
+        long = np.flatnonzero(lengths >= stem)
+        stems[long] = mixed(sum(values[heads[long] + k] for k in range(stem)) ^ np.uint64(0x6A09E667F3BCC909))
+    return starts, mixed(hashes), stems
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True, parting: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each text's words begin (one more bound at the end)."""
-    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(bounds) - 1, np.int64)
+    return stemmed_hashes(data, bounds, lower, parting, 0)[:2]
+
+
+def stemmed_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool, parting: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and hashes of the words' first ``stem`` bytes, 0 for shorter words."""
+    hashes, stems, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(len(bounds) - 1, np.int64)
     for start, end, inner in _blocks(data, bounds, parting):
-        starts, _, h = _block_words(data[start:end], inner[:-1] - start, lower, parting)
+        starts, h, s = _block_words(data[start:end], inner[:-1] - start, lower, parting, stem)
         text = np.searchsorted(bounds, starts + start, "right") - 1
         counts += np.bincount(text, minlength=len(counts)) if len(counts) else 0
         hashes.append(h)
-    return np.concatenate(hashes), np.r_[0, np.cumsum(counts)]
+        stems.append(s)
+    return np.concatenate(hashes), np.r_[0, np.cumsum(counts)], np.concatenate(stems)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 A word (a run of letters, A-Z lower-cased) scores its log-odds between toxic and clean texts under a Dirichlet prior in
 proportion to the word's overall frequency, if these log-odds are far enough from chance; any other word costs a little.
-A word counts once for each text, and copies or near copies of a text count as one, lest their words look toxic.
+A word's first STEM bytes score alike, for words that vary at their ends; the better of both scores holds. A word counts
+once for each text, and copies or near copies of a text count as one, lest their words look toxic.
 Ruzzo and Tompa's linear scan then finds all maximal scoring segments of a text, and extreme-value statistics (Karlin
 and Altschul) say how probable such a segment is in a clean text of that length. The surprise of all segments together
 goes through a logistic calibration.
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.storage import remainder
-from ruleloom.llm.text import NOT_LETTERS, column_bytes, inner_grams, mixed, ranges, word_hashes
+from ruleloom.llm.text import NOT_LETTERS, column_bytes, inner_grams, mixed, ranges, stemmed_hashes, word_hashes
 
 FIT_ROWS = 24_000
 LEXICON = 50_000
+#: Words of inflected languages are also known by so many first bytes.
+STEM = 4
 PRIOR = 20_000.0
 LEAST_Z = 5.0
 LEAST_COST = 0.05
@@ -57,16 +60,24 @@ def segments(places: list[int], scores: list[float], cost: float) -> list[tuple[
     return [(a, b, high - low) for a, b, low, high in found]
 
 
+def _looked_up(hashes: np.ndarray, words: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The score of each word, 0 for unknown ones."""
+    if not len(words):
+        return np.zeros(len(hashes))
+    spot = np.searchsorted(words, hashes)
+    spot[spot == len(words)] = 0
+    return np.where(words[spot] == hashes, scores[spot], 0.0)
+
+
 def _texts(batch: pa.RecordBatch, words: np.ndarray, scores: np.ndarray, cost: float) -> Iterator[tuple[int, int, list]]:
     """Row, number of words and segments of every text."""
     data, bounds = column_bytes(batch.column("text"))
     for a, b in ranges(bounds):
-        hashes, at = word_hashes(data, bounds[a : b + 1], True, NOT_LETTERS)
-        spot = np.searchsorted(words, hashes)
-        spot[spot == len(words)] = 0
-        hits = np.flatnonzero(words[spot] == hashes) if len(words) else np.zeros(0, np.int64)
+        hashes, at, stems = stemmed_hashes(data, bounds[a : b + 1], True, NOT_LETTERS, STEM)
+        each = np.maximum(_looked_up(hashes, words, scores), _looked_up(stems, words, scores))
+        hits = np.flatnonzero(each)
         cut = np.searchsorted(hits, at)
-        score = scores[spot[hits]] if len(hits) else np.zeros(0)
+        score = each[hits]
         for i in range(b - a):
             h = slice(cut[i], cut[i + 1])
             found = segments((hits[h] - at[i]).tolist(), score[h].tolist(), cost) if cut[i + 1] > cut[i] else []
@@ -90,16 +101,17 @@ def _marked(batches):
 
 
 def _counted(batches):
-    """In how many clean and toxic texts each word occurs."""
+    """In how many clean and toxic texts each word or stem occurs."""
     clean, toxic = {}, {}
     for batch in batches:
         data, bounds = column_bytes(batch.column("text"))
         label = batch.column("toxic").to_numpy(zero_copy_only=False)
         for a, b in ranges(bounds):
-            hashes, at = word_hashes(data, bounds[a : b + 1], True, NOT_LETTERS)
-            of = np.repeat(label[a:b], np.diff(at))
+            hashes, at, stems = stemmed_hashes(data, bounds[a : b + 1], True, NOT_LETTERS, STEM)
+            text = np.repeat(np.arange(b - a), np.diff(at))
+            both, texts = np.r_[hashes, stems[stems > 0]], np.r_[text, text[stems > 0]]
             for y, held in ((0, clean), (1, toxic)):
-                pair = np.stack([np.repeat(np.arange(b - a), np.diff(at)).astype(np.uint64), hashes], 1)[of == y]
+                pair = np.stack([texts.astype(np.uint64), both], 1)[label[a:b][texts] == y]
                 pair = pair[np.lexsort((pair[:, 0], pair[:, 1]))]
                 new = np.r_[True, (pair[1:] != pair[:-1]).any(1)] if len(pair) else np.zeros(0, bool)
                 values, n = np.unique(pair[new, 1], return_counts=True)
