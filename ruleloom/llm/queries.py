@@ -1,11 +1,13 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
-from ruleloom.llm import exact, jaccard, langid, mixing, phrases, tokenfile, toxicity
+from ruleloom.llm import exact, jaccard, langid, lm, mixing, phrases, pieces, tokenfile, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_language_id": langid.op2,
+    "op3_sentencepiece": pieces.op3,
     "op4_ngram_jaccard": jaccard.op4,
+    "op5_language_model": lm.op5,
     "op6_repeated_passages": phrases.op6,
     "op7_exact_dedup": exact.op7,
     "op8_token_file": tokenfile.op8,
