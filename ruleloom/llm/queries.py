@@ -1,6 +1,6 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
-from ruleloom.llm import exact, jaccard, langid, lm, mixing, phrases, pieces, tokenfile, toxicity
+from ruleloom.llm import bm25, exact, jaccard, langid, lm, mixing, phrases, pieces, tokenfile, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_exact_dedup": exact.op7,
     "op8_token_file": tokenfile.op8,
     "op9_toxicity": toxicity.op9,
+    "op10_exact_search": bm25.op10,
 }
 
 ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op7_exact_dedup": exact.SQL}
