@@ -10,8 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from ruleloom.llm.exact import without_copies  # noqa: E402
+from ruleloom.llm.jaccard import one_of_each  # noqa: E402
 from ruleloom.llm.langid import accepted  # noqa: E402
 from ruleloom.llm.mixing import mixed_rows  # noqa: E402
+from ruleloom.llm.pieces import round_trips  # noqa: E402
 from ruleloom.llm.storage import written  # noqa: E402
 
 
@@ -25,15 +27,27 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return one_of_each(docs, shingle=5, percent=80)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources reach their targets."""
     return mixed_rows(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    return round_trips(docs, with_ids=True)
+
+
 STAGES = [
     ("language", language),
     ("exact dedup", exact),
+    ("near dedup", near),
     ("mixture", mixture),
+    ("token ids", token_ids),
 ]
 
 #: Fitted centroids and lattice searches have no SQL; tests compare the stages with plain versions.

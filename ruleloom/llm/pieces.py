@@ -203,22 +203,29 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return found.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def round_trips(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of 32-bit little-endian ids), decoded_sha256, round_trip of every row."""
+def round_trips(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (of 32-bit little-endian ids), decoded_sha256, round_trip of every row; its ids if asked."""
 
     def run(batches):
         p = pieces(vocabulary)
         for batch in batches:
-            rows = []
+            rows, held = [], []
             for raw, ids in _encoded(batch, p):
                 text = p.decode(np.frombuffer(ids, "<u4").tolist())
                 rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text).hexdigest(), text == raw))
+                held.append(ids)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)]
-            yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+            names = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"]
+            if with_ids:
+                bounds = np.cumsum([0, *[len(x) // 4 for x in held]]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+                names.append("ids")
+            yield pa.record_batch([batch.column("doc_id"), *columns], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    kind = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+    return rows.mapInArrow(run, kind + ", ids array<int>" * with_ids)
 
 
 def op3(spark, sf_dir) -> DataFrame:
