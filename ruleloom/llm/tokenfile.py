@@ -34,11 +34,11 @@ from ruleloom.llm.text import column_bytes, ranges
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 32 << 20
-CACHED = 400_000
+CACHED = 250_000
 #: Characters that part words in the vocabulary's own splitting; the apostrophe begins contractions and is left out.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: How special tokens begin; runs with it go to the tokenizer alone and as they are.
-SPECIAL = "<|"
+SPECIAL = b"<|"
 LANES = 64
 
 
@@ -85,60 +85,63 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        if not all(t.content.startswith(SPECIAL) for t in self.tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError(f"special tokens of {vocabulary} must begin with {SPECIAL}")
+        if not all(t.content.encode().startswith(SPECIAL) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"special tokens of {vocabulary} must begin with {SPECIAL.decode()}")
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _parts(self, run: str) -> list[str] | None:
-        """The words of a run as the vocabulary parts them, if it is a Latin-1 word with punctuation around it."""
+    def _parts(self, run: bytes) -> list[bytes] | None:
+        """A run as the vocabulary parts it, if it is a Latin-1 word with punctuation around it."""
         core = run.strip(PUNCTUATION)
-        if len(core) == len(run):
-            return [core.lower()] if core.isalpha() and (core.isascii() or max(core) < "\u0100") else None
-        if not (core.isalpha() and (core.isascii() or max(core) < "\u0100") or core == "") or SPECIAL in run:
+        if SPECIAL in run:
             return None
         at = run.find(core)
         head, tail = run[:at], run[at + len(core) :]
-        return [x for x in (head, core.lower(), tail) if x]
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > CACHED:
-            self.words, self.older = {}, self.words
-        parts = {run: self._parts(run.decode()) for run in new}
-        words = {w for p in parts.values() if p for w in p if w not in self.words}
-        self.words.update({w: self.older[w] for w in words if w in self.older})
-        words = [w for w in words if w not in self.words]
+        if core and not core.isalpha():
+            text = core.decode()
+            if not text.isalpha() or max(text) >= "\u0100":
+                return None
+            core = text.lower().encode()
+        core = core.lower()
+        return [x for x in (head, core, tail) if x]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Remembers the ids of runs; words, and the parts of other runs, are encoded together."""
+        known, older = self.known, self.older
+        found = new & older.keys()
+        known.update({run: older[run] for run in found})
+        new = new - found
+        words = {run for run in new if run.isalpha() and run.islower()}
+        parts = {run: self._parts(run) for run in new - words}
+        words.update(x for p in parts.values() if p for x in p)
+        words = list(words - known.keys())
         if words:
             # Lower-case composed words without inner breaks: what the vocabulary's normaliser and splitting leave alone.
-            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(words) and stops[-1] == len(ids):
-                raw = ids.tobytes()
-                self.words.update({w: raw[4 * a : 4 * b] for w, a, b in zip(words, [0, *stops[:-1].tolist()], stops.tolist())})
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                known.update(zip(words, [raw[a:b] for a, b in zip([0, *stops], stops)]))
             else:
-                self.words.update({w: self.alone(w) for w in words})
+                known.update({w: self.alone(w.decode()) for w in words})
         for run, p in parts.items():
-            self.runs[run] = b"".join([self.words[w] for w in p]) if p else self.alone(run.decode())
+            known[run] = b"".join([known[x] for x in p]) if p else self.alone(run.decode())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The vocabulary lower-cases, so A-Z may be lower-cased beforehand unless a special token could come of it."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [(t if SPECIAL in t else t.lower()).split() for t in texts]
         used = set().union(*split)
-        new = used - self.runs.keys()
-        if len(self.runs) + len(new) > CACHED:
-            self.runs.clear()
-            new = used
-        self._learn(list(new))
-        known = self.runs.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        self._learn(used - self.known.keys())
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -195,20 +198,29 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     placed.mapInArrow(_blocks(vocabulary, end_id, block_ids), BLOCK).write.option("compression", "zstd").parquet(path)
 
 
+def _shard_starts(blocks: DataFrame) -> dict[int, int]:
+    totals = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
+    return dict(zip([s for s, _ in totals], np.cumsum([0, *[n for _, n in totals]]).tolist()))
+
+
+def _opened(batches: Iterator[pa.RecordBatch], starts: dict[int, int]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: doc_ids, the documents' starts among all ids, their bounds in the block, and the ids."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            bounds = np.r_[0, r["doc_ends"]].astype(np.int64)
+            begin = starts[r["shard"]] + r["first_id"] + bounds[:-1]
+            yield pa.array(r["doc_ids"], pa.int64()), begin, bounds, unpack(r["payload"], r["bits"], 0, r["n_ids"])
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids of every document, from the files alone."""
     blocks = spark.read.parquet(path)
-    totals = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
-    starts = dict(zip([s for s, _ in totals], np.cumsum([0, *[n for _, n in totals]]).tolist()))
+    starts = _shard_starts(blocks)
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = unpack(r["payload"], r["bits"], 0, r["n_ids"]).astype(np.int32)
-                bounds = np.r_[0, r["doc_ends"]].astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                begin = pa.array(starts[r["shard"]] + r["first_id"] + bounds[:-1])
-                yield pa.record_batch([pa.array(r["doc_ids"], pa.int64()), begin, lists], names=["doc_id", "start", "ids"])
+        for doc_ids, begin, bounds, ids in _opened(batches, starts):
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.record_batch([doc_ids, pa.array(begin), lists], names=["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, ids array<int>")
 
@@ -216,16 +228,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
 
+    blocks = spark.read.parquet(path)
+    starts = _shard_starts(blocks)
+
     def run(batches):
-        for batch in batches:
-            lists = batch.column("ids")
-            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
-            n = pa.array(np.diff(bounds).astype(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("start"), n, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_tokens(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        for doc_ids, begin, bounds, ids in _opened(batches, starts):
+            raw = ids.astype("<u4").tobytes()
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            columns = [doc_ids, pa.array(begin), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark, sf_dir) -> DataFrame:
