@@ -84,6 +84,32 @@ def embeddings(dims):
     return table
 
 
+def order_lines(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    lines = read(spark, sf_dir, "lineitem")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
+        "o_totalprice",
+        "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", "R").otherwise("rest").alias("y"),
+    )
+
+
+def line_numbers(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(
+        "l_linenumber", "l_quantity", F.when(F.col("l_returnflag") == "R", "R").otherwise("rest").alias("y")
+    )
+
+
+def events_with_bad_numbers(spark, sf_dir):
+    """The events with f0 as text: unreadable in one hour, no number in another, infinite in a third."""
+    bad = F.when(F.col("f1") == 3, "n/a").when(F.col("f1") == 4, "NaN").when(F.col("f1") == 5, "-Infinity")
+    return events(spark, sf_dir).withColumn("f0", bad.otherwise(F.col("f0").cast("string")))
+
+
 EVENTS = Dataset(
     "events",
     ("f0", "f1", "f2"),
@@ -113,6 +139,27 @@ ORDERS = Dataset(
     """SELECT o_orderkey AS row_id, o_totalprice AS x0, o_orderpriority AS x1,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS cls FROM orders""",
 )
+ORDER_LINES = Dataset(
+    "order_lines",
+    ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "l_linenumber"),
+    ("numeric",) * 6,
+    ("R", "rest"),
+    order_lines,
+    """SELECT NULL AS row_id, l_quantity AS x0, l_extendedprice AS x1, l_discount AS x2, l_tax AS x3, o_totalprice AS x4,
+       CAST(l_linenumber AS DOUBLE) AS x5, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS cls
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    row_id=None,
+)
+LINE_NUMBERS = Dataset(
+    "line_numbers",
+    ("l_linenumber", "l_quantity"),
+    ("nominal", "numeric"),
+    ("R", "rest"),
+    line_numbers,
+    """SELECT NULL AS row_id, CAST(l_linenumber AS DOUBLE) AS x0, l_quantity AS x1,
+       CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS cls FROM lineitem""",
+    row_id=None,
+)
 LINEITEM = Dataset(
     "lineitem",
     ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"),

@@ -291,16 +291,40 @@ def rule_text_sql():
     return sql(model(ds), f"SELECT {number} AS rule_no, {text} AS rule FROM rules CROSS JOIN rng g")
 
 
-def rule_base_text_sql():
+def four(x: str) -> str:
+    return f"printf('%.4f', round({x}, 4))"
+
+
+def rule_lines_sql() -> str:
+    """``at``, ``line``, ``numbers`` of the rules of the events."""
     ds = D.EVENTS
     body = " || ' AND ' || ".join(f"'{n} IS L_' || a{i}" for i, n in enumerate(ds.features))
-    number = f"row_number() OVER (ORDER BY {labels_of(ds)}) - 1"
-    return sql(
-        model(ds),
-        f"""SELECT CAST(-1 AS BIGINT) AS at, 'RULE BASE: (' || count(*) || ')' AS value FROM rules UNION ALL
-        SELECT CAST({number} AS BIGINT), 'Rule (' || CAST({number} AS VARCHAR) || '): IF ' || {body} || ' THEN CLASS = '
-        || CASE cls WHEN 0 THEN 'error' ELSE 'other' END FROM rules""",
-    )
+    number = f"CAST(row_number() OVER (ORDER BY {labels_of(ds)}) - 1 AS BIGINT)"
+    return f"""SELECT {number} AS at, 'Rule (' || {number} || '): IF ' || {body} || ' THEN CLASS = '
+        || CASE cls WHEN 0 THEN 'error' ELSE 'other' END || ' WITH RW = #' AS line, {four("weight")} AS numbers FROM rules"""
+
+
+def rule_base_text_sql():
+    head = "SELECT CAST(-1 AS BIGINT) AS at, 'RULE BASE: (' || count(*) || ')' AS line, '' AS numbers FROM rules"
+    return sql(model(D.EVENTS), f"{head} UNION ALL {rule_lines_sql()}")
+
+
+def triangle_lines_sql(ds, at: bool) -> str:
+    """Name and triangles of the numeric variables."""
+    out = []
+    for i in ds.numeric:
+        first = f"CAST({i} AS BIGINT) AS at, " if at else ""
+        out.append(f"SELECT {first}'{ds.features[i]}:' AS line, '' AS numbers")
+        for k in range(3):
+            points = [peak(i, max(k - 1, 0), 3), peak(i, k, 3), peak(i, min(k + 1, 2), 3)]
+            out.append(f"SELECT {first}'L_{k}: (#,#,#)' AS line, {' || chr(32) || '.join(map(four, points))} AS numbers FROM rng g")
+    return " UNION ALL ".join(out)
+
+
+def knowledge_text_sql():
+    head = "SELECT 'DATABASE' AS line, '' AS numbers"
+    lines = triangle_lines_sql(D.EVENTS, False)
+    return sql(model(D.EVENTS), f"{head} UNION ALL {lines} UNION ALL SELECT line, numbers FROM ({rule_lines_sql()})")
 
 
 def confusion_text_sql():
@@ -319,18 +343,59 @@ FROM range(2) k(i) LEFT JOIN (SELECT cls, count(*) AS n FROM crules GROUP BY cls
 
 def variables_text_sql():
     return sql(
-        examples(D.DOCUMENTS),
-        """SELECT CAST(0 AS BIGINT) AS at, 0 AS line_no, 'n_chars:' AS line
-        UNION ALL SELECT 0, CAST(i + 1 AS INTEGER), 'L_' || i || ': (' FROM range(3) t(i)
-        UNION ALL SELECT 1, 0, 'lang (nominal variable):'
-        UNION ALL SELECT 1, 1, regexp_replace('Nominal values: ' || array_to_string(v1, ', '), '[-0-9.,E ]+(\\)|$)', '', 'g') FROM rng
-        UNION ALL SELECT 2, 0, 'source (nominal variable):'
-        UNION ALL SELECT 2, 1, regexp_replace('Nominal values: ' || array_to_string(v2, ', '), '[-0-9.,E ]+(\\)|$)', '', 'g') FROM rng
-        UNION ALL SELECT 3, 0, 'Class:' UNION ALL SELECT 3, 1, '' UNION ALL SELECT 3, 2, '' UNION ALL SELECT 3, 3, 'IR:'
-        UNION ALL SELECT 3, 4, ''""",
+        examples(D.DOCUMENTS) + [("c", "SELECT cls, count(*)::DOUBLE AS n FROM ex GROUP BY cls")],
+        f"""{triangle_lines_sql(D.DOCUMENTS, True)}
+        UNION ALL SELECT 1, 'lang (nominal variable):', '' UNION ALL SELECT 1, 'Nominal values: ' || array_to_string(v1, ', '), '' FROM rng
+        UNION ALL SELECT 2, 'source (nominal variable):', '' UNION ALL SELECT 2, 'Nominal values: ' || array_to_string(v2, ', '), '' FROM rng
+        UNION ALL SELECT 3, 'Class:', '' UNION ALL SELECT 3, '1, 0', '' UNION ALL SELECT 3, 'IR:', ''
+        UNION ALL SELECT 3, '#, #', string_agg({four("(SELECT max(n) FROM c) / n")}, ' ' ORDER BY cls) FROM c""",
     )
 
 
+def folds_text_sql():
+    m = "SELECT (1.0 + tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE) / 2.0 AS auc FROM rates"
+    return sql(
+        fold_metrics("test") + [("m", m)],
+        f"""SELECT CAST(0 AS BIGINT) AS at, 'Number of iterations = {FOLDS}' AS line, '' AS numbers
+        UNION ALL SELECT 0, 'Average AUC = #', {four("avg(auc)")} FROM m""",
+    )
+
+
+def wide_sql(inference="winning_rule"):
+    log = "round(log10(CASE WHEN degree > 0 THEN degree END), 6)"
+    return sql(model(D.EMBEDDINGS_64) + scored(D.EMBEDDINGS_64, inference), f"SELECT actual, predicted, {log} AS log_degree FROM pred")
+
+
+def bad_rows_sql():
+    """Ranges and class sizes of all events, rules of those with readable numbers."""
+    m = model(D.EVENTS)
+    kept = fuzzified(D.EVENTS, source="(SELECT * FROM ex WHERE x1 NOT IN (3, 4, 5))")
+    return sql(m[:2] + kept + m[3:], RULES)
+
+
+def unknown_values_sql():
+    ds = D.DOCUMENTS
+    all_rows = f"(SELECT * REPLACE (CASE WHEN x2 = 'src1' THEN -1 ELSE cls END AS cls) FROM ({ds.sql}))"
+    m = examples(ds, "cls >= 0 AND x1 <> 'fr'")
+    ctes = m + fuzzified(ds) + supports(ds) + chunk_rules_of(ds)
+    ctes += fuzzified(ds, source=f"(SELECT * FROM {all_rows} WHERE cls >= 0)", name="fza")
+    return sql(ctes + scored(ds, fz="fza"), PREDICTIONS)
+
+
+def chunk_rules_of(ds):
+    from ruleloom.catalog.oracle import chunk_rules, merged_rules
+
+    return chunk_rules(ds) + merged_rules(ds)
+
+
+HEADER_SCHEMA = """WITH d AS (SELECT d.n_chars, d.lang, d.source, l.toxic FROM documents d JOIN labels l USING (doc_id))
+SELECT 'n_chars' AS name, 'numeric' AS kind, min(n_chars)::DOUBLE AS lower, max(n_chars)::DOUBLE AS upper, '' AS entries FROM d
+UNION ALL SELECT 'lang', 'nominal', NULL, NULL, string_agg(DISTINCT lang, '|' ORDER BY lang) FROM d
+UNION ALL SELECT 'source', 'nominal', NULL, NULL, string_agg(DISTINCT source, '|' ORDER BY source) FROM d
+UNION ALL SELECT 'y', 'class', NULL, NULL, string_agg(toxic || ' ' || n, '|' ORDER BY toxic)
+FROM (SELECT toxic, count(*) AS n FROM d WHERE toxic IS NOT NULL GROUP BY toxic)"""
+
+
 TEXT_ROWS = D.EVENTS.sql + " WHERE event_type <> 'click'"
 
 
@@ -423,6 +488,12 @@ EXPECTED = {
     "predict_default_mode_additive": unseen_sql("most_frequent", "additive"),
     "predict_embeddings_8": predictions_of(D.EMBEDDINGS_8),
     "predict_embeddings_8_additive": predictions_of(D.EMBEDDINGS_8, "additive"),
+    "predict_embeddings_64": wide_sql(),
+    "predict_embeddings_64_additive": wide_sql("additive"),
+    "rules_bad_rows_dropped": bad_rows_sql(),
+    "predict_unknown_values": unknown_values_sql(),
+    "order_line_rules": rules_of(D.ORDER_LINES),
+    "line_number_rules": rules_of(D.LINE_NUMBERS, n_labels=7),
     "fired_rules": sql(
         model(D.EVENTS) + scored(D.EVENTS)[:1] + [("p2", f"SELECT r.rule_key, r.cls, {match(D.EVENTS)} * r.weight AS assoc FROM fz f CROSS JOIN rules r")],
         "SELECT rule_key, cls AS rule_class, count(*) AS n_rows, round(sum(assoc), 4) AS total FROM p2 WHERE assoc > 0 GROUP BY 1, 2",
@@ -455,6 +526,7 @@ EXPECTED = {
         + [("m", "SELECT (1.0 + tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE) / 2.0 AS auc FROM rates")],
         "SELECT count(*) AS n_folds, round(avg(auc), 6) AS mean_auc FROM m",
     ),
+    "folds_text": folds_text_sql(),
     "ga_init": sql(ga_base(), "SELECT chunk_id, chrom_id, rule_key, active FROM pop"),
     "ga_pairs": sql(ga_base() + ga_pairing(), "SELECT chunk_id, chrom_id, pair, side FROM pairs"),
     "ga_hux": sql(ga_base() + ga_children(), "SELECT chunk_id, chrom_id, rule_key, active FROM kids"),
@@ -493,6 +565,7 @@ EXPECTED = {
     ),
     "compact_reload": rules_of(D.EVENTS),
     "rule_base_text": rule_base_text_sql(),
+    "knowledge_text": knowledge_text_sql(),
     "confusion_text": confusion_text_sql(),
     "counters_text": sql(
         model(D.EVENTS, chunks=4) + [("means", MEANS)],
@@ -508,4 +581,5 @@ EXPECTED = {
     ),
     "text_rules": text_rules_sql(),
     "header_items": HEADER,
+    "header_schema": HEADER_SCHEMA,
 }

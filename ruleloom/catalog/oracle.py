@@ -168,8 +168,8 @@ def scored(ds: Dataset, inference: str = "winning_rule", default: str = "0", fz:
         votes = f"SELECT rid{plain}, rc, max(assoc) AS v, max(assoc) AS t FROM {name}_pairs GROUP BY rid{plain}, rc"
     else:
         votes = (
-            f"SELECT rid{plain}, rc, sum(assoc) AS v, floor(sum(assoc) * 1e12 + 0.5) AS t FROM {name}_pairs"
-            f" GROUP BY rid{plain}, rc"
+            f"SELECT *, floor(v / nullif(max(v) OVER (PARTITION BY rid{plain}), 0) * 1e12::DOUBLE + 0.5::DOUBLE) AS t FROM"
+            f" (SELECT rid{plain}, rc, sum(assoc) AS v FROM {name}_pairs GROUP BY rid{plain}, rc)"
         )
     join = "".join(f" AND b.{c} = f.{c}" for c in carry.split())
     return [

@@ -23,7 +23,7 @@ from ruleloom.schema import RuleSchema, fuzzy_sets
 from ruleloom.session import cut_lineage
 from ruleloom.sinks import text
 from ruleloom.sources.examples import split_examples
-from ruleloom.sources.header import header_items
+from ruleloom.sources.header import header_items, schema_from_items
 from ruleloom.sources.rulefiles import parse_compact
 
 GA_POP = 10
@@ -192,6 +192,35 @@ def q_predict(ds, **kw):
     return run
 
 
+def q_predict_wide(**kw):
+    """Degrees are products of 64 factors, so their logarithms are compared."""
+
+    def run(spark, sf_dir):
+        df, model = trained(spark, sf_dir, D.EMBEDDINGS_64, **kw)
+        log = F.round(F.log10(F.when(F.col("degree") > 0, F.col("degree"))), 6)
+        return model.predict(df).select("actual", "predicted", log.alias("log_degree"))
+
+    return run
+
+
+def q_bad_rows(spark, sf_dir):
+    """Rows with unreadable numbers are left out of learning."""
+    clean, schema = setup(spark, sf_dir, D.EVENTS)
+    rules = learn(D.events_with_bad_numbers(spark, sf_dir), schema, Params(rule_weight="cf", bad_rows="drop")).rules
+    return rule_rows(rules)
+
+
+def q_unknown_values(spark, sf_dir):
+    """Rules of the labelled documents that are not French, on all of them: one
+    source has no class, and the French ones match no rule."""
+    docs = D.labelled_documents(spark, sf_dir)
+    known = docs.filter("lang <> 'fr'")
+    schema = profile(known, D.DOCUMENTS.features, "y", 3, D.DOCUMENTS.classes)
+    model = learn(known, schema, Params(rule_weight="cf"), "row_id")
+    unclear = docs.withColumn("y", F.when(F.col("source") == "src1", "?").otherwise(F.col("y")))
+    return model.predict(unclear, "row_id").select("row_id", "actual", "predicted", r6("degree"))
+
+
 def q_predict_unseen(default_class, inference="winning_rule"):
     """Rules from the labelled documents, applied to all of them."""
 
@@ -271,6 +300,10 @@ def q_fold_metrics(which, **kw):
     return run
 
 
+def q_folds_text(spark, sf_dir):
+    return numbers_apart(text.folds_text(folds(spark, sf_dir).metrics("test")))
+
+
 def q_fold_average(spark, sf_dir):
     return mean_auc(folds(spark, sf_dir).metrics("test")).select("n_folds", r6("mean_auc"))
 
@@ -355,6 +388,16 @@ def q_ga_search(spark, sf_dir):
 # Text outputs and inputs
 
 
+NUMBER = r"-?[0-9]+\.[0-9]+(E-?[0-9]+)?"
+
+
+def numbers_apart(lines):
+    """Text lines with their decimal numbers taken out and given with four places."""
+    each = lines.select("at", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
+    found = F.transform(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0)), lambda x: F.format_string("%.4f", F.round(x.cast("double"), 4)))
+    return each.select("at", F.regexp_replace(F.trim("line"), NUMBER, "#").alias("line"), F.array_join(found, " ").alias("numbers"))
+
+
 def q_rule_text(spark, sf_dir):
     df, model = trained(spark, sf_dir, D.DOCUMENTS)
     cls, w = F.col(CLASS), F.round("weight", 6)
@@ -374,10 +417,14 @@ def q_compact_reload(spark, sf_dir):
 
 
 def q_rule_base_text(spark, sf_dir):
-    """Lines of the rule base with their weights cut off, head included."""
     _, model = trained(spark, sf_dir)
-    lines = text.rule_base_text(model.rules, model.schema)
-    return lines.select("at", F.trim(F.regexp_replace("value", r"( WITH RW = .*)?\n", "")).alias("value"))
+    return numbers_apart(text.rule_base_text(model.rules, model.schema))
+
+
+def q_knowledge_text(spark, sf_dir):
+    """The knowledge base file: variables, then rules."""
+    _, model = trained(spark, sf_dir)
+    return numbers_apart(text.knowledge_text(model, spark)).drop("at")
 
 
 def q_confusion_text(spark, sf_dir):
@@ -392,11 +439,8 @@ def q_counters_text(spark, sf_dir):
 
 
 def q_variables_text(spark, sf_dir):
-    """Names of variables, labels and values as the variables file lists them."""
     _, schema = setup(spark, sf_dir, D.DOCUMENTS)
-    lines = text.variables_text(schema, spark)
-    parts = lines.select("at", F.posexplode(F.split(F.trim("value", F.lit("\n")), "\n")).alias("line_no", "line"))
-    return parts.select("at", "line_no", F.regexp_replace(F.trim("line"), r"[-0-9.,E ]+(\)|$)", "").alias("line"))
+    return numbers_apart(text.variables_text(schema, spark))
 
 
 def example_lines(spark, sf_dir):
@@ -464,6 +508,15 @@ def q_header_items(spark, sf_dir):
     return items.select("item", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("kind", F.lit("")).alias("kind"), F.array_join("items", "|").alias("items"))
 
 
+def q_header_schema(spark, sf_dir):
+    """The variables that a header declares, its class sizes beside them."""
+    lines = header_lines(spark, sf_dir).union(spark.createDataFrame([("@output y",)], "value string"))
+    s = schema_from_items(header_items(lines).collect(), 3)
+    rows = [(v.name, v.kind, v.lower, v.upper, "|".join(v.values or ())) for v in s.variables]
+    rows.append((s.label, "class", None, None, "|".join(f"{c} {n}" for c, n in zip(s.classes, s.class_counts))))
+    return spark.createDataFrame(rows, "name string, kind string, lower double, upper double, entries string")
+
+
 QUERIES = {
     "class_profile": q_class_profile(D.EVENTS),
     "class_profile_multiclass": q_class_profile(D.ORDERS),
@@ -513,6 +566,12 @@ QUERIES = {
     "predict_default_mode_additive": q_predict_unseen("most_frequent", "additive"),
     "predict_embeddings_8": q_predict(D.EMBEDDINGS_8),
     "predict_embeddings_8_additive": q_predict(D.EMBEDDINGS_8, inference="additive"),
+    "predict_embeddings_64": q_predict_wide(),
+    "predict_embeddings_64_additive": q_predict_wide(inference="additive"),
+    "rules_bad_rows_dropped": q_bad_rows,
+    "predict_unknown_values": q_unknown_values,
+    "order_line_rules": q_rules(D.ORDER_LINES),
+    "line_number_rules": q_rules(D.LINE_NUMBERS, n_labels=7),
     "fired_rules": q_fired,
     "confusion_matrix": q_matrix(D.EVENTS),
     "confusion_matrix_pcf": q_matrix(D.EVENTS, rule_weight="pcf"),
@@ -530,6 +589,7 @@ QUERIES = {
     "cross_validate_train": q_fold_metrics("train"),
     "cross_validate_chunked": q_fold_metrics("test", n_chunks=2, rule_weight="pcf"),
     "cross_validate_mean": q_fold_average,
+    "folds_text": q_folds_text,
     "ga_init": q_ga_init,
     "ga_pairs": q_ga_pairs,
     "ga_hux": q_ga_hux,
@@ -544,10 +604,12 @@ QUERIES = {
     "compact_rules": q_compact_rules,
     "compact_reload": q_compact_reload,
     "rule_base_text": q_rule_base_text,
+    "knowledge_text": q_knowledge_text,
     "confusion_text": q_confusion_text,
     "counters_text": q_counters_text,
     "variables_text": q_variables_text,
     "text_scan": q_text_scan,
     "text_rules": q_text_rules,
     "header_items": q_header_items,
+    "header_schema": q_header_schema,
 }

@@ -86,7 +86,3 @@ def stable(x: Column) -> Column:
     """Rounded to 12 places: sums taken in another order give the same value."""
     return F.round(x, 12)
 
-
-def tick(x: Column) -> Column:
-    """Whole number of 1e-12 steps, for comparing sums inside a row."""
-    return F.floor(x * F.lit(1e12) + F.lit(0.5))

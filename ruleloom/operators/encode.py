@@ -13,6 +13,7 @@ from ruleloom.schema import RuleSchema
 CLASS = "class_idx"
 CHUNK = "chunk_id"
 LOOKUP_FROM = 64
+BROADCAST_VALUES = 200_000
 
 
 def x_col(i: int) -> str:
@@ -35,6 +36,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def finite(number: str, dtype) -> str:
+    """SQL for a double that is null where it is no number or infinite."""
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        return number
+    return f"IF(isnan({number}) OR abs({number}) = double('infinity'), NULL, {number})"
+
+
 def _fail(message: str) -> Column:
     return F.raise_error(F.lit(message))
 
@@ -66,7 +74,7 @@ def encode(
         raw = F.col(quoted(var.name))
         if var.is_numeric:
             cast = "try_cast" if isinstance(types[var.name], T.StringType) else "CAST"
-            number = f"{cast}({quoted(var.name)} AS DOUBLE)"
+            number = finite(f"{cast}({quoted(var.name)} AS DOUBLE)", types[var.name])
             if bad_rows == "error":
                 # The last argument is never reached; it tells Spark that no null is left.
                 message = f"column {var.name} has an unreadable number".replace("\\", "").replace("'", "")
@@ -82,14 +90,14 @@ def encode(
     res = df.select(*out)
     if need_class and not learning:
         res = res.filter(F.col(CLASS) >= 0)
-    # Long value lists are joined instead of searched. Their length was checked
-    # when the schema was made, so the small side is bounded.
+    # Long value lists are joined instead of searched; broadcast up to a length.
     for i in lookups:
         values = schema.variables[i].values
         table = df.sparkSession.createDataFrame(
             [(v, k) for k, v in enumerate(values)], f"`{x_col(i)}` string, __code int"
         )
-        res = res.join(F.broadcast(table), x_col(i), "left").withColumn(
+        side = F.broadcast(table) if len(values) <= BROADCAST_VALUES else table
+        res = res.join(side, x_col(i), "left").withColumn(
             x_col(i), F.coalesce(F.col("__code"), F.lit(-1))
         )
         res = res.drop("__code")

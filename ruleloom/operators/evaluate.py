@@ -19,19 +19,12 @@ def confusion_matrix(predictions: DataFrame, schema: RuleSchema | None = None, b
     if schema is None:
         return counts
     k = len(schema.classes)
-    # All cells of each group, taken from the counts themselves.
-    packed = counts.groupBy(*by).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct((F.col("actual") * k + F.col("predicted")).alias("cell"), F.col("n").alias("n")))
-        ).alias("m")
-    )
-    cells = packed.select(*by, "m", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("cell"))
-    return cells.select(
-        *by,
-        F.floor(F.col("cell") / k).cast("int").alias("actual"),
-        F.pmod(F.col("cell"), F.lit(k)).alias("predicted"),
-        F.coalesce(F.try_element_at("m", F.col("cell")), F.lit(0)).cast("bigint").alias("n"),
-    )
+    # All cells of each group with 0, added to what was counted.
+    every = f"sequence(0, {k - 1})"
+    zeros = f"flatten(transform({every}, a -> transform({every}, p -> named_struct('actual', a, 'predicted', p, 'n', 0L))))"
+    packed = counts.groupBy(*by).agg(F.collect_list(F.expr("named_struct('actual', actual, 'predicted', predicted, 'n', n)")).alias("c"))
+    cells = packed.selectExpr(*by, f"inline(concat(c, {zeros}))")
+    return cells.groupBy(*by, "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def confusion_pivot(matrix: DataFrame, schema: RuleSchema) -> DataFrame:

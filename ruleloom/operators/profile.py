@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleloom.operators.encode import quoted
+from ruleloom.operators.encode import finite, quoted
 from ruleloom.schema import NOMINAL, NUMERIC, RuleSchema, Variable
 
 
@@ -19,7 +19,7 @@ def feature_ranges(df: DataFrame, features) -> DataFrame:
     features = list(features)
     aggs = []
     for i, name in enumerate(features):
-        x = F.col(name).cast("double")
+        x = F.expr(finite(f"CAST({quoted(name)} AS DOUBLE)", df.schema[name].dataType))
         aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     entries = [
         F.struct(
@@ -87,35 +87,33 @@ def profile(
     column with no more distinct steps than labels becomes nominal as well.
     ``classes`` fixes the class order (the first one is the positive class);
     by default the labels are sorted. Value lists and class lists end up on the
-    driver, so both are counted before they are fetched and refused when they
-    are longer than the limits.
+    driver, so both are counted over the whole table before they are fetched and
+    refused when they are longer than the limits.
     """
     features = list(features)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in features if _is_number(dtypes[c])]
     nominal = [c for c in features if c not in numeric]
 
-    n_class = df.select(F.approx_count_distinct(label)).first()[0] if classes is None else len(classes)
-    if n_class > max_classes * 1.2:
-        raise ValueError(f"label column {label!r} has about {n_class} values, more than {max_classes}")
+    labels = df.select(F.col(label).cast("string")).filter(F.col(label).isNotNull()).distinct()
+    if labels.limit(max_classes + 1).count() > max_classes:
+        raise ValueError(f"label column {label!r} has more than {max_classes} values")
+    values: dict[str, list[str]] = {c: [] for c in nominal}
+    if nominal:
+        distinct = nominal_values(df, nominal)
+        for r in distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect():
+            if r["n"] > max_values:
+                raise ValueError(f"nominal column {r['name']!r} has {r['n']} values, more than {max_values}")
+        for r in distinct.collect():
+            values[r["name"]].append(r["value"])
 
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, name in enumerate(numeric):
-        x = f"CAST({quoted(name)} AS DOUBLE)"
+        x = finite(f"CAST({quoted(name)} AS DOUBLE)", dtypes[name])
         aggs += [F.expr(f"min({x}) AS lo{i}"), F.expr(f"max({x}) AS hi{i}")]
-    for i, name in enumerate(nominal):
-        aggs.append(F.approx_count_distinct(F.col(name)).alias(f"d{i}"))
     # One scan: a row per class with the ranges seen in that class.
     per_class = df.groupBy(F.col(label).cast("string").alias("label")).agg(*aggs).collect()
 
-    for i, name in enumerate(nominal):
-        widest = max((r[f"d{i}"] for r in per_class), default=0)
-        if widest > max_values * 1.2:
-            raise ValueError(f"nominal column {name!r} has about {widest} values, more than {max_values}")
-    values: dict[str, list[str]] = {c: [] for c in nominal}
-    if nominal:
-        for r in nominal_values(df, nominal).collect():
-            values[r["name"]].append(r["value"])
 
     counts = {r["label"]: r["n"] for r in per_class if r["label"] is not None}
     order = [str(c) for c in classes] if classes is not None else sorted(counts)

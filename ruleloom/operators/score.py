@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.functions.membership import association, tick
+from ruleloom.functions.membership import association
 from ruleloom.operators.encode import CLASS, antecedents_of, encode
 from ruleloom.operators.grid import CORE, Grid, corner_products, hi_col, k_col, lo_col, pack, place
 from ruleloom.operators.match import pair_degrees, reach, row_pairs, rule_blocks
@@ -21,6 +21,7 @@ from ruleloom.schema import RuleSchema
 
 CORNER_BYTES = 24
 UNROLL_TERMS = 128
+ROW = "__row"
 
 
 def default_index(schema: RuleSchema, params: Params) -> int:
@@ -75,12 +76,14 @@ def table_fits(rules: DataFrame, grid: Grid, params: Params, n_groups: int = 1)
     rules be counted.
     """
     corners = 1 << len(grid.numeric)
+    # A cell carries its corners and a bit set per class; a corner may carry its rule's key.
+    cell = corners * (CORNER_BYTES + 4 * len(grid.schema.variables)) + 8 * len(grid.schema.classes)
     bound = n_groups
     for r in cell_radices(grid):
         bound *= r
-    if bound * corners * CORNER_BYTES <= params.broadcast_bytes:
+    if bound * cell <= params.broadcast_bytes:
         return True
-    return rules.count() * corners * CORNER_BYTES <= params.broadcast_bytes
+    return rules.count() * corners * cell <= params.broadcast_bytes
 
 
 def place_rows(encoded: DataFrame, grid: Grid, keep) -> DataFrame:
@@ -149,9 +152,16 @@ def choose(df: DataFrame, keep, n_corners: int, n_classes: int, inference: str,
 
 
 def vote(df: DataFrame, keep, n_classes: int, default: int) -> DataFrame:
-    """Prediction from the summed votes ``__v*`` per class, compared to 12 places."""
+    """Prediction from the summed votes ``__v*`` per class.
+
+    Votes are compared as shares of the row's largest one, to 12 places: however
+    small a product of many degrees gets, the order of its votes stays.
+    """
+    votes = [f"__v{k}" for k in range(n_classes)]
+    df = df.selectExpr(*keep, *votes, f"array_max(array({', '.join(votes)})) AS __top")
     entries = ", ".join(
-        f"named_struct('t', floor(__v{k} * 1e12D + 0.5D), 'c', {-k}, 'a', __v{k})" for k in range(n_classes)
+        f"named_struct('t', IF(__top > 0D, floor({v} / __top * 1e12D + 0.5D), 0L), 'c', {-k}, 'a', {v})"
+        for k, v in enumerate(votes)
     )
     df = df.selectExpr(*keep, f"array_max(array({entries})) AS b")
     return df.selectExpr(
@@ -236,21 +246,24 @@ def fired_rules(
 
 
 def score_pairs(
-    encoded: DataFrame, schema: RuleSchema, rules: DataFrame, params: Params, row_id: str, keep, group=()
+    encoded: DataFrame, schema: RuleSchema, rules: DataFrame, params: Params, keep, group=()
 ) -> DataFrame:
     """Scoring for many numeric features: one pass over row and rule pairs.
 
     Per row and class the strongest association or the sum is kept, in plain
-    double columns that a hash aggregate combines on the map side. Rows no rule
-    reaches stay in through the outer join and get the default class.
+    double columns that a hash aggregate combines on the map side. Rows are told
+    apart by a number of their own, set where they are read, so rows with equal
+    ids stay rows. Rows no rule reaches stay in through the outer join and get
+    the default class.
     """
+    encoded = encoded.withColumn(ROW, F.monotonically_increasing_id())
     group = list(group)
     default, n_classes = default_index(schema, params), len(schema.classes)
     positions = list(range(len(schema.variables)))
     named = rules.select(*group, "rule_key", F.col(CLASS).alias("rule_class"), F.col("weight").alias("w"))
     blocks = rule_blocks(named, schema, params, group, positions, ["rule_class", "w"])
-    others = [c for c in dict.fromkeys([row_id, *keep]) if c not in group]
-    rows = row_pairs(encoded, schema, group, positions, others, F.xxhash64(row_id), blocks)
+    others = [c for c in dict.fromkeys([ROW, *keep]) if c not in group]
+    rows = row_pairs(encoded, schema, group, positions, others, F.xxhash64(ROW), blocks)
     pairs = pair_degrees(rows, blocks, group, [*others, "rule_class", "w"], every_row=True)
     take = "max" if params.inference == "winning_rule" else "sum"
     votes = [
@@ -279,8 +292,8 @@ def score(
     """Predict every row of ``df``: ``(row_id, keep, actual, predicted, degree)``.
 
     Rows of an unknown class are skipped when ``with_actual``; without it the
-    label column is not needed. ``row_id`` is optional unless the table has many
-    numeric features; there it must be unique. ``group`` names columns that pick a rule base per row.
+    label column is not needed. ``row_id`` is optional and need not be unique.
+    ``group`` names columns that pick a rule base per row.
     """
     cols = [F.col(row_id).alias("row_id")] if row_id else []
     cols += [F.col(c) for c in dict.fromkeys([*keep, *group])]
@@ -291,6 +304,4 @@ def score(
         out.append("actual")
     if Grid(schema).is_small:
         return score_encoded(encoded, schema, rules, params, out, group, n_groups)
-    if not row_id:
-        raise ValueError("tables with many numeric features need a row_id to be scored")
-    return score_pairs(encoded, schema, rules, params, "row_id", out, group)
+    return score_pairs(encoded, schema, rules, params, out, group)

@@ -298,8 +298,11 @@ def _outcomes_from_pairs(
     if params.inference == "winning_rule":
         best = used.groupBy(*by).agg(F.max(F.struct("assoc", (-F.col("rule_class")).alias("c"))).alias("b"))
     else:
-        votes = used.groupBy(*by, "rule_class").agg(stable(F.sum("assoc")).alias("v"))
-        best = votes.groupBy(*by).agg(F.max(F.struct("v", (-F.col("rule_class")).alias("c"))).alias("b"))
+        # Shares of the row's largest vote, as in scoring.
+        votes = used.groupBy(*by, "rule_class").agg(F.sum("assoc").alias("v"))
+        share = F.floor(F.col("v") / F.max("v").over(Window.partitionBy(*by)) * 1e12 + 0.5)
+        votes = votes.select(*by, "rule_class", share.alias("t"))
+        best = votes.groupBy(*by).agg(F.max(F.struct("t", (-F.col("rule_class")).alias("c"))).alias("b"))
     predicted = best.select(*by, (-F.col("b.c")).alias("predicted"))
     fired = predicted.groupBy(CHUNK, "chrom_id", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
     marked = fired.select(

@@ -27,6 +27,7 @@ from ruleloom.operators.grid import (
 from ruleloom.operators.match import pair_degrees, row_pairs, rule_blocks
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
+from ruleloom.session import cut_lineage
 
 NO_LABEL = "*"
 
@@ -145,7 +146,7 @@ def blocked_support(encoded: DataFrame, schema: RuleSchema, params: Params, grou
     """
     group = list(group)
     seen = encoded.select(*group, CLASS, rule_key(own_labels(schema)).alias("rule_key")).distinct()
-    seen = seen.persist()
+    seen = cut_lineage(seen)
     rules = seen.select(*group, "rule_key").distinct()
     positions = list(range(len(schema.variables)))
     if params.weight_features == "all_but_last":

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ruleloom.operators.evaluate import accuracy, binary_auc, confusion_matrix, confusion_pivot
 from ruleloom.plans.learn import Model
+from ruleloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -20,9 +21,12 @@ class Evaluation:
 
 
 def classify(model: Model, df: DataFrame, row_id: str | None = None, positive: int = 0) -> Evaluation:
-    """Predictions and, from one small matrix, the pivot, AUC and accuracy."""
+    """Predictions and, from one small matrix, the pivot, AUC and accuracy.
+
+    The matrix is worked out once and kept in the checkpoint folder.
+    """
     predictions = model.predict(df, row_id)
-    matrix = confusion_matrix(predictions, model.schema)
+    matrix = cut_lineage(confusion_matrix(predictions, model.schema))
     return Evaluation(
         predictions, matrix, confusion_pivot(matrix, model.schema), binary_auc(matrix, positive), accuracy(matrix)
     )

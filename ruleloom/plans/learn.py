@@ -14,15 +14,17 @@ from ruleloom.operators.support import rule_support
 from ruleloom.operators.weights import best_class, class_weights, finish_rules, first_class, merge_rules
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
+from ruleloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Model:
-    """A learned rule base: schema, parameters and two lazy tables.
+    """A learned rule base: schema, parameters and two tables.
 
     ``rules`` is the final rule base, ``chunk_rules`` what each chunk learned
-    before merging. Both are plans until used; ``cache()`` keeps them, and
-    :mod:`ruleloom.sinks.tables` stores them.
+    before merging. Learning writes the latter to the checkpoint folder, so the
+    rows are read once however often the model is used;
+    :mod:`ruleloom.sinks.tables` stores both.
     """
 
     schema: RuleSchema
@@ -86,6 +88,7 @@ def learn(
         if row_id is None:
             raise ValueError("rule selection needs a row_id")
         chunk_rules = select_rules(df, schema, chunk_rules, params, row_id, chunk).rules
+    chunk_rules = cut_lineage(chunk_rules)
     one_chunk = chunk is None and params.n_chunks == 1
     merged = chunk_rules.drop(CHUNK) if one_chunk else merge_rules(chunk_rules)
     return Model(schema, params, finish_rules(merged), finish_rules(chunk_rules, [CHUNK]))

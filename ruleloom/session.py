@@ -36,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ruleloom-checkpoint-"))
     else:
-        raise ValueError("set spark.checkpoint.dir to a shared folder before rule selection")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return sc.getCheckpointDir()
 
 
