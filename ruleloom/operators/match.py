@@ -20,7 +20,6 @@ from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
 from ruleloom.session import cut_lineage
 
-WORD_BITS = 62
 BLOCK_FEATURES = 5
 RULE_ROW_BYTES = 96
 
@@ -34,7 +33,6 @@ class Blocks:
     block_on: list[int]
     broadcast: bool
     salts: int
-    words: int
     row_partitions: int | None = None
 
 
@@ -99,24 +97,16 @@ def rule_blocks(
     places = ", ".join(f"get(ants, {i}) + {n * j}" for j, i in enumerate(numeric))
     block = pack(cells, [grid.n_cells(i) for i in block_on])
     df = df.selectExpr(*group, *carry, f"array({places}) AS places", f"{block} AS block")
-    # The same places as bit sets: a rule meets a row only where no degree is 0.
-    words = -(-n * len(numeric) // WORD_BITS)
-    bits = [
-        f"aggregate(places, 0L, (acc, p) -> acc | IF(p DIV {WORD_BITS} = {w}, shiftleft(1L, p % {WORD_BITS}), 0L)) AS __p{w}"
-        for w in range(words)
-    ]
-    df = df.selectExpr("*", *bits)
     salts = 1 if small else params.salt_buckets
     if not small:
         df = df.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
-    return Blocks(df, list(positions), block_on, small, salts, words, params.row_partitions if small else None)
+    return Blocks(df, list(positions), block_on, small, salts, params.row_partitions if small else None)
 
 
 def row_pairs(
     encoded: DataFrame, schema: RuleSchema, group, positions, keep, salt_by: Column | None, blocks: Blocks
 ) -> DataFrame:
-    """Rows with their block, the list ``mu`` of their degrees and, as bit sets,
-    the places in it where they are 0.
+    """Rows with their block and the list ``mu`` of their degrees.
 
     ``mu`` holds, feature by feature, the degree in every label; nominal features
     are all part of the block. Rows without a block (unknown value) fall out of
@@ -140,12 +130,6 @@ def row_pairs(
     out = placed.selectExpr(
         *group, *keep, f"IF({known}, {block}, NULL) AS block", f"array({', '.join(degrees)}) AS mu"
     )
-    step = "named_struct('b', acc.b | IF(x > 0D, 0L, shiftleft(1L, acc.i)), 'i', acc.i + 1)"
-    zeros = [
-        f"aggregate(slice(mu, {WORD_BITS * w + 1}, {WORD_BITS}), named_struct('b', 0L, 'i', 0), (acc, x) -> {step}, acc -> acc.b) AS __z{w}"
-        for w in range(blocks.words)
-    ]
-    out = out.selectExpr("*", *zeros)
     if blocks.salts > 1:
         # Copies of one row spread by their input partition, the same on a rerun.
         spread = salt_by if salt_by is not None else F.xxhash64(F.spark_partition_id(), "mu")
@@ -156,16 +140,13 @@ def row_pairs(
 def pair_degrees(rows: DataFrame, blocks: Blocks, group, out, every_row: bool = False) -> DataFrame:
     """Join rows and rules on the block; keep pairs of positive degree.
 
-    The bit sets are met in the join itself, so degrees are multiplied for pairs
-    of positive degree only. With ``every_row`` rows without rules come once with
-    degree 0, so that an aggregate over the pairs sees every row.
+    With ``every_row`` all pairs stay, and rows without rules come once with
+    degree 0, so that an aggregate over the pairs sees every row. A product ends
+    with its first factor 0.
     """
     on = [*group, "block"] + (["salt"] if blocks.salts > 1 else [])
     table = F.broadcast(blocks.table) if blocks.broadcast else blocks.table
-    same = [f"r.`{c}` = t.`{c}`" for c in on] + [f"(r.__z{w} & t.__p{w}) = 0L" for w in range(blocks.words)]
-    met = rows.alias("r").join(table.alias("t"), F.expr(" AND ".join(same)), "left" if every_row else "inner")
-    first = [f"r.`{c}`" for c in group]
-    degree = "aggregate(places, 1D, (acc, p) -> acc * get(mu, p))"
+    degree = "aggregate(places, 1D, (acc, p) -> IF(acc = 0D, 0D, acc * get(mu, p)))"
     if every_row:
-        return met.selectExpr(*first, *out, f"coalesce({degree}, 0D) AS degree")
-    return met.selectExpr(*first, *out, f"{degree} AS degree").filter("degree > 0")
+        return rows.join(table, on, "left").selectExpr(*group, *out, f"coalesce({degree}, 0D) AS degree")
+    return rows.join(table, on).selectExpr(*group, *out, f"{degree} AS degree").filter("degree > 0")
