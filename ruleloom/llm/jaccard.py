@@ -98,7 +98,7 @@ def signatures(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _segment_sums(mixed(grams), at).view(np.int64), _segment_sums(mixed(grams ^ np.uint64(0x5DEECE66D)), at).view(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch, n: int, most: int = 1 << 22):
+def _pieces(batch: pa.RecordBatch, n: int, most: int = 1 << 21):
     """Row range, shingles and bounds of pieces of a batch."""
     data, bounds = column_bytes(batch.column("text"))
     k = 0

@@ -32,7 +32,7 @@ from sentencepiece import SentencePieceProcessor
 
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_WEIGHT = -30.0
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 100_000, 48
 CHECK_EVERY = 32
 BLANK = "▁"
 
