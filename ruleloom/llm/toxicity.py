@@ -1,7 +1,9 @@
 """Toxic passages by maximum-scoring segments, and a toxicity score for every text.
 
 A word (a run of letters, A-Z lower-cased) scores its log-odds between toxic and clean texts under a Dirichlet prior in
-proportion to the word's overall frequency, if these log-odds are far enough from chance; any other word costs a little.
+proportion to the word's overall frequency; any other word costs a little. The prior rules the size of a score only. Which
+words score is a likelihood ratio test on the raw counts, at a level for the number of words tested, so a word of a small
+language enters as its texts gather, whatever its share of all texts.
 A word's first STEM bytes score alike, for words that vary at their ends; the better of both scores holds. A word counts
 once for each text, and copies or near copies of a text count as one, lest their words look toxic.
 Ruzzo and Tompa's linear scan then finds all maximal scoring segments of a text, and extreme-value statistics (Karlin
@@ -32,7 +34,8 @@ LEXICON = 50_000
 #: Words of inflected languages are also known by so many first bytes.
 STEM = 4
 PRIOR = 20_000.0
-LEAST_Z = 5.0
+#: A word of the lexicon occurs in so many texts at least, and at most this share of the lexicon is there by chance.
+LEAST_TEXTS, BY_CHANCE = 4, 0.05
 LEAST_COST = 0.05
 MOST_SCORE = 8.0
 SIGNIFICANT = 0.01
@@ -147,6 +150,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _evidence(n0: int, n1: int):
+    """Likelihood ratio statistic (G) of ``toxic`` against ``clean`` for a word more frequent in toxic texts, 0 for others."""
+    both = F.col("clean") + F.col("toxic")
+    part = lambda y, total: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) * float(n0 + n1) / (both * float(total)))).otherwise(0.0)
+    return F.when(F.col("toxic") * float(n0) > F.col("clean") * float(n1), 2 * (part("toxic", n1) + part("clean", n0))).otherwise(0.0)
+
+
+def _significant(evidence: np.ndarray, tested: int) -> int:
+    """How many of the falling values hold when BY_CHANCE of them may be chance; exp(-G / 2) bounds the binomial tail."""
+    places = np.arange(1, len(evidence) + 1)
+    good = np.flatnonzero(-evidence / 2 <= np.log(BY_CHANCE * places / max(tested, 1)))
+    return int(good[-1]) + 1 if len(good) else 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """Lexicon, extreme-value parameters and calibration from labelled rows that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(4) != 2))
@@ -166,8 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         alpha = PRIOR * (F.col("clean") + F.col("toxic")) / float(n0 + n1)
         odds = lambda y, total: F.log((F.col(y) + alpha) / (total + PRIOR - F.col(y) - alpha))
         delta = odds("toxic", n1) - odds("clean", n0)
-        z = delta / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
-        found = counts.select("word", "clean", "toxic", delta.alias("delta"), z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+        often = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
+        tested = often.select("word", "clean", "toxic", delta.alias("delta"), _evidence(n0, n1).alias("evidence"))
+        found = tested.filter((F.col("evidence") > 0) & (F.col("delta") > 0)).orderBy(F.desc("evidence"), "word").limit(LEXICON).collect()
+        found = found[: _significant(np.array([r.evidence for r in found]), often.count())]
         words, score = np.array([r.word for r in found], np.int64).view(np.uint64), np.array([min(r.delta, MOST_SCORE) for r in found])
         order = np.argsort(words)
         c0, c1 = np.array([r.clean for r in found], float), np.array([r.toxic for r in found], float)
