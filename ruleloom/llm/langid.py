@@ -2,8 +2,10 @@
 
 A text is its byte 1- to 3-grams, A-Z lower-cased and other ASCII that is no letter turned to blanks, hashed to ``DIM``
 places, square-rooted, weighed by inverse document frequency and brought to length 1. Every language has several
-centroids, found by spherical k-means; the nearest by cosine names the language, and the cosine is the score. A text
-further away than the fitted reach of its centroid is marked as rejected, as is one without a letter.
+centroids, found by spherical k-means; the nearest by cosine names the language, and the cosine is the score. A centroid of
+few texts is no part of its language but of texts labelled or quoted wrongly, so it goes.
+A text further away than the reach of its language is marked as rejected, as is one without a letter. Short texts lie further
+off, so reaches are fitted by length: from cosines of texts to centroids of the other half of their language's texts.
 
 Fitting takes about ``FIT_DOCS`` texts of each language, drawn by hash of the id, and is the only step on a sample. Its
 centroids (at most MOST_LANGUAGES * CENTROIDS * DIM floats) are sent to the tasks that score all texts in one scan.
@@ -27,8 +29,13 @@ CENTROIDS = 4
 FIT_DOCS = 600
 MOST_LANGUAGES = 500
 ROUNDS = 12
-#: A text is rejected below this share of the cosine that all but one in a hundred fitting texts reach.
-REACH = 0.35
+#: Centroids with less than this share of their language's texts go.
+LEAST_SHARE = 0.02
+#: Bounds of the lengths in bytes with reaches of their own, and the step from one to the next shorter without texts.
+LENGTHS, SHORTER = np.array([64, 256, 1024]), 0.6
+#: A text is rejected below this share, by length, of the cosine that all but one in a hundred fitting texts of its length
+#: reach. Short texts have few n-grams and vary more.
+REACH = np.array([0.6, 0.6, 0.7, 0.7])
 FOLD = np.where(NOT_LETTERS, np.uint8(32), LOWER)
 SLICE = 1 << 21
 
@@ -98,13 +105,50 @@ def _cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return c, (v @ c.T).max(1)
 
 
+def _centroids(v: np.ndarray, k: int) -> np.ndarray:
+    """Centres with a good share of the texts; texts of small clusters are set aside and the others clustered anew."""
+    rest = v
+    for _ in range(ROUNDS):
+        c, _ = _cluster(rest, k)
+        near = (rest @ c.T).argmax(1)
+        small = np.bincount(near, minlength=len(c)) < LEAST_SHARE * len(v)
+        if not small.any() or small.all():
+            break
+        rest = rest[~small[near]]
+    return c[~small] if not small.all() else c
+
+
+def _unseen(v: np.ndarray, k: int) -> np.ndarray:
+    """Each text's cosine to centroids of the texts of the other half."""
+    out = np.zeros(len(v))
+    for half in (0, 1):
+        if len(v) > 1:
+            out[1 - half :: 2] = (v[1 - half :: 2] @ _centroids(v[half::2], k).T).max(1)
+    return out
+
+
+def _reaches(cosines: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    """A row of reaches by length for each language: the lower one of its own texts and of all texts."""
+
+    def low(cosine, size):
+        length = np.searchsorted(LENGTHS, size, "right")
+        return np.array([np.quantile(cosine[length == j], 0.01) if (length == j).any() else np.nan for j in range(len(LENGTHS) + 1)])
+
+    found = np.fmin(low(np.concatenate(cosines), np.concatenate(sizes)), [low(c, s) for c, s in zip(cosines, sizes)])
+    for row in found:
+        some = np.flatnonzero(~np.isnan(row))
+        for j in np.flatnonzero(np.isnan(row)):
+            row[j] = row[some[some < j][-1]] if j > some[0] else row[some[0]] * SHORTER ** (some[0] - j)
+    return REACH * found
+
+
 def fit(rows: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS) -> dict:
     """Centroids from ``rows`` (doc_id, text, lang)."""
     lettered = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r.n for r in rows.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    empty = {"languages": [], "centres": np.zeros((0, DIM), np.float32), "reach": np.zeros(0), "idf": np.ones(DIM, np.float32)}
+    empty = {"languages": [], "centres": np.zeros((0, DIM), np.float32), "reach": np.zeros((0, len(LENGTHS) + 1)), "idf": np.ones(DIM, np.float32)}
     if not sizes:
         return empty
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
@@ -119,16 +163,20 @@ def fit(rows: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS) -
     def centre(table: pa.Table) -> pa.Table:
         data, bounds = column_bytes(table.column("text"))
         v = np.concatenate([vectors(data, bounds[a : b + 1], idf) for a, b in chunks(bounds)])
-        c, cosine = _cluster(v, centroids)
-        lang = table.column("lang")[0].as_py()
-        reach = REACH * float(np.quantile(cosine, 0.01))
-        return pa.table({"lang": [lang] * len(c), "centre": pa.array([x.tolist() for x in c], pa.list_(pa.float32())), "reach": [reach] * len(c)})
+        c, cosine = _centroids(v, centroids), _unseen(v, centroids)
+        columns = [[table.column("lang")[0].as_py()], [c.ravel().tolist()], [cosine.tolist()], [np.diff(bounds).tolist()]]
+        kinds = [pa.string(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["lang", "centres", "cosines", "sizes"])
 
-    found = sample.groupBy("lang").applyInArrow(centre, "lang string, centre array<float>, reach double").collect()
+    found = sample.groupBy("lang").applyInArrow(centre, "lang string, centres array<float>, cosines array<double>, sizes array<long>").collect()
     if not found:
         return empty
     found.sort(key=lambda r: r.lang)
-    return {"languages": [r.lang for r in found], "centres": np.array([r.centre for r in found], np.float32), "reach": np.array([r.reach for r in found]), "idf": idf}
+    reach = _reaches([np.array(r.cosines) for r in found], [np.array(r.sizes) for r in found])
+    each = [np.array(r.centres, np.float32).reshape(-1, DIM) for r in found]
+    many = [len(c) for c in each]
+    languages = [r.lang for r, n in zip(found, many) for _ in range(n)]
+    return {"languages": languages, "centres": np.concatenate(each), "reach": np.repeat(reach, many, axis=0), "idf": idf}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -150,7 +198,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             known = batch.column("letter").to_numpy(zero_copy_only=False) & bool(m["languages"])
             cosine = np.where(known, np.clip(cosine, 0, 1), 0.0)
             lang = [m["languages"][j] if k else "und" for j, k in zip(best, known)]
-            far = ~known | (cosine < (m["reach"][best] if m["languages"] else 1.0))
+            far = ~known
+            if m["languages"]:
+                far |= cosine < m["reach"][best, np.searchsorted(LENGTHS, np.diff(bounds), "right")]
             yield pa.record_batch(
                 [batch.column("row"), pa.array(lang, pa.string()), pa.array(cosine), pa.array(far)], names=["row", "lang_pred", "score", "rejected"]
             )
