@@ -1,6 +1,6 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
-from ruleloom.llm import bm25, exact, jaccard, langid, lm, mixing, phrases, pieces, tokenfile, toxicity
+from ruleloom.llm import bm25, exact, fim, fptree, jaccard, langid, lm, mixing, phrases, pieces, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -13,6 +13,15 @@ QUERIES = {
     "op8_token_file": tokenfile.op8,
     "op9_toxicity": toxicity.op9,
     "op10_exact_search": bm25.op10,
+    "op11_fill_in_middle": fim.op11,
+    "op12_warc_revisits": warc.op12,
+    "op13_ranked_search": fptree.op13,
 }
 
-ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op7_exact_dedup": exact.SQL}
+ORACLE_SQL = {
+    "op1_mix_sources": mixing.SQL,
+    "op7_exact_dedup": exact.SQL,
+    "op11_fill_in_middle": fim.SQL,
+    "op12_warc_revisits": warc.SQL,
+    "op13_ranked_search": fptree.SQL,
+}
