@@ -7,8 +7,8 @@ none. Payloads are equal if length, SHA-1 and SHA-256 are.
 
 Archives are gzip text files of one folder: a record is its header block, an empty line, its content block and two line
 ends, so Spark's own writer with that separator makes valid WARC/1.1 and commits it safely. Reading takes the pieces in
-file order and puts records together by Content-Length. Compressed files are not split, so their number follows
-``archive_bytes``. A file is one gzip member.
+file order and puts records together by Content-Length. Compressed files are not split: an archive is what a task of the
+shuffle by digest writes, so their size follows the session's shuffle partitions. A file is one gzip member.
 
 Record ids are digests of page, url, payload and copy number: a task that runs again writes the same ones. A digest that more than
 one in HOT_SHARE headers has is met by broadcast (there are fewer than HOT_SHARE of them) and its rows are spread.
@@ -30,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.storage import part_count, shared_path
+from ruleloom.llm.storage import shared_path, written
 
 LEAST_BYTES = 0
-ARCHIVE_BYTES = 64 << 20
 HOT_SHARE = 1000
 END = "\r\n\r\n"
 # Digits of numbers to base 32 and the letters that stand for them in digests, and the profile of revisits.
@@ -111,10 +110,9 @@ def _record(kind: str, copy: Column, date: str, payload: Column, *more: tuple[st
     return F.concat(F.lit("WARC/1.1\r\n"), head, F.lit(END), block).alias("value")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str | None = None) -> None:
     """The records of all pages under ``path``: folder ``response`` with payloads, folder ``revisit`` without."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    archives = part_count(pages, archive_bytes, "html")
     rows = headers(pages)
     small = F.col("bytes") < least_bytes
     # Small payloads fold only with repeated rows, larger ones with all their copies.
@@ -124,9 +122,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     folded = rows.withColumn("alone", alone).groupBy(*KEY, "alone").agg(F.max(page).alias("owner"), F.count(F.lit(1)).alias("n"), F.first("html").alias("html"))
     copies = F.when(F.col("bytes") < least_bytes, F.col("n")).otherwise(1)
     responses = folded.select(*KEY, F.col("owner.page_id").alias("page_id"), F.col("owner.url").alias("url"), "html", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
-    _write(responses.select(_record("response", F.col("copy"), date, F.col("html"))).repartition(archives), f"{path}/response")
+    _write(responses.select(_record("response", F.col("copy"), date, F.col("html"))), f"{path}/response")
 
-    large = rows.filter(~small).drop("html").groupBy(*KEY, "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    # Headers alone from here on, written once: the joins below ask for them several times.
+    large = written(rows.filter(~small).drop("html").groupBy(*KEY, "page_id", "url").agg(F.count(F.lit(1)).alias("n")), "headers")
     owners = large.groupBy(*KEY).agg(F.max(page).alias("owner"), F.sum("n").alias("of")).filter("of > 1").drop("of")
     met = spread_join(large, owners, KEY)
     is_owner = F.col("owner").eqNullSafe(page)
@@ -232,6 +231,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all records; revisits have their response's payload."""
     facts = ["page_id", "payload_bytes", "payload_digest"]
+    records = written(records.select("record_id", "record_type", "refers_to_id", *facts), "records")
     responses = records.filter("record_type = 'response'")
     owners = responses.select(F.col("record_id").alias("refers_to_id"), F.struct(*facts).alias("owner"))
     revisits = spread_join(records.filter("record_type = 'revisit'").select("page_id", "refers_to_id"), owners, ["refers_to_id"])
