@@ -40,7 +40,16 @@ def finite(number: str, dtype) -> str:
     """SQL for a double that is null where it is no number or infinite."""
     if isinstance(dtype, (T.IntegralType, T.DecimalType)):
         return number
-    return f"IF(isnan({number}) OR abs({number}) = double('infinity'), NULL, {number})"
+    return f"IF(abs({number}) < double('infinity'), {number}, NULL)"
+
+
+def all_finite(numbers: list[str]) -> str:
+    """SQL that is false where one of the doubles is null, no number or infinite.
+
+    Zero times such a value isn't zero. One test of the sum keeps scoring code short
+    enough for the JVM to compile.
+    """
+    return f"coalesce({' + '.join(f'{n} * 0D' for n in numbers)} = 0D, false)"
 
 
 def _fail(message: str) -> Column:
@@ -70,15 +79,22 @@ def encode(
 
     lookups = []
     types = {f.name: f.dataType for f in df.schema.fields}
+    numbers = {}
+    for i in schema.numeric_positions:
+        name = schema.variables[i].name
+        cast = "try_cast" if isinstance(types[name], T.StringType) else "CAST"
+        numbers[i] = f"{cast}({quoted(name)} AS DOUBLE)"
     for i, var in enumerate(schema.variables):
         raw = F.col(quoted(var.name))
         if var.is_numeric:
-            cast = "try_cast" if isinstance(types[var.name], T.StringType) else "CAST"
-            number = finite(f"{cast}({quoted(var.name)} AS DOUBLE)", types[var.name])
+            number = finite(numbers[i], types[var.name])
             if bad_rows == "error":
-                # The last argument is never reached; it tells Spark that no null is left.
-                message = f"column {var.name} has an unreadable number".replace("\\", "").replace("'", "")
-                number = f"coalesce({number}, CAST(raise_error('{message}') AS DOUBLE), 0D)"
+                # Not null from here on; the first column carries the test of all.
+                number = f"coalesce({numbers[i]}, 0D)"
+                if i == min(numbers):
+                    names = ", ".join(schema.variables[k].name for k in numbers).replace("\\", "").replace("'", "")
+                    failed = f"CAST(raise_error('a row has an unreadable number in one of the columns {names}') AS DOUBLE)"
+                    number = f"coalesce(IF({all_finite(list(numbers.values()))}, {numbers[i]}, {failed}), 0D)"
             out.append(F.expr(f"{number} AS {x_col(i)}"))
             continue
         if len(var.values) > LOOKUP_FROM and not var.compare_as_number:
