@@ -172,6 +172,16 @@ LINEITEM = Dataset(
 )
 
 
+HOURS = Dataset(
+    "hours",
+    ("f1",),
+    ("numeric",),
+    ("error", "other"),
+    events,
+    """SELECT event_id AS row_id, CAST(hour(ts) AS DOUBLE) AS x0, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS cls FROM events""",
+)
+
+
 def embedding_set(dims: int) -> Dataset:
     xs = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(dims))
     return Dataset(

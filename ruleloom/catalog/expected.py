@@ -18,7 +18,8 @@ from ruleloom.catalog.oracle import (
     sql,
     supports,
 )
-from ruleloom.catalog.queries import FOLDS, GA_CHUNKS, GA_POP, GA_SEED
+from ruleloom.catalog.queries import FOLDS, GA_CHUNKS, GA_POP, GA_SEARCH, GA_SEED, GA_TINY
+from ruleloom.catalog.search import HISTORY, LAST, PRUNED, pruned_rules, recursive, search
 
 RULES = "SELECT rule_key, cls AS class_idx, round(weight, 6) AS weight FROM rules"
 PREDICTIONS = "SELECT row_id, actual, predicted, round(degree, 6) AS degree FROM pred"
@@ -279,6 +280,10 @@ KEPT = (
 )
 
 
+def searched_rules(evaluations):
+    return recursive(search(D.EVENTS, GA_POP, GA_SEED, evaluations, GA_CHUNKS) + pruned_rules(GA_CHUNKS), PRUNED)
+
+
 def rule_text_sql():
     ds = D.DOCUMENTS
     terms = []
@@ -550,6 +555,14 @@ EXPECTED = {
         f"""SELECT p.chunk_id, 0 AS chrom_id, p.rule_key, p.active FROM pop p JOIN ({BEST}) b USING (chunk_id, chrom_id)
         UNION ALL SELECT chunk_id, chrom_id, rule_key, active FROM fresh WHERE chrom_id > 0""",
     ),
+    "ga_search": searched_rules(GA_SEARCH),
+    "ga_search_one": searched_rules(GA_POP + 1),
+    "ga_population": recursive(
+        search(D.EVENTS, GA_POP, GA_SEED, GA_SEARCH, GA_CHUNKS),
+        f"SELECT chunk_id, chrom_id, array_to_string(act, ' ') AS rules, round(fitness, 6) AS fitness FROM ({LAST})",
+    ),
+    "ga_history": recursive(search(D.EVENTS, GA_POP, GA_SEED, GA_SEARCH, GA_CHUNKS), HISTORY),
+    "ga_history_restarts": recursive(search(D.HOURS, GA_TINY["pop_size"], GA_SEED, GA_TINY["n_evaluations"]), HISTORY),
     "prune_rules": sql(
         ga_base() + ga_fitness() + [KEPT],
         "SELECT chunk_id, rule_key, cls AS class_idx, round(weight, 6) AS weight FROM kept",

@@ -29,6 +29,8 @@ from ruleloom.sources.rulefiles import parse_compact
 GA_POP = 10
 GA_SEED = 10000
 GA_CHUNKS = 2
+GA_SEARCH = 3 * GA_POP
+GA_TINY = {"pop_size": 4, "n_evaluations": 60}
 FOLDS = 5
 
 
@@ -380,9 +382,38 @@ def q_ga_restart(spark, sf_dir):
     return selection.restart(pop, fit, GA_POP, GA_SEED, 7)
 
 
-def q_ga_search(spark, sf_dir):
-    _, model = trained(spark, sf_dir, n_chunks=GA_CHUNKS, pop_size=GA_POP, n_evaluations=3 * GA_POP)
-    return rule_rows(model.rules)
+def searched(spark, sf_dir, ds=D.EVENTS, **kw):
+    params = Params(**{"rule_weight": "cf", "pop_size": GA_POP, "seed": GA_SEED, **kw})
+    df, schema = setup(spark, sf_dir, ds)
+    rules = cut_lineage(learn_chunks(df, schema, params, "row_id"))
+    return selection.select_rules(df, schema, rules, params, "row_id")
+
+
+def q_ga_search(n_evaluations):
+    def run(spark, sf_dir):
+        _, model = trained(spark, sf_dir, n_chunks=GA_CHUNKS, pop_size=GA_POP, n_evaluations=n_evaluations)
+        return rule_rows(model.rules)
+
+    return run
+
+
+def q_ga_history(ds, **kw):
+    """Best fitness, new children, budget and restarts of every chunk after every generation."""
+
+    def run(spark, sf_dir):
+        log = searched(spark, sf_dir, ds, **kw).history
+        rows = [(h["generation"], h["chunk_id"], round(h["best"], 6), h["new"], h["budget"], h["resets"]) for h in log]
+        return spark.createDataFrame(rows, "generation int, chunk_id int, best double, new int, budget int, resets int")
+
+    return run
+
+
+def q_ga_population(spark, sf_dir):
+    """The chromosomes that a search ends with."""
+    found = searched(spark, sf_dir, n_chunks=GA_CHUNKS, n_evaluations=GA_SEARCH)
+    on = F.array_sort(F.collect_list(F.when(F.col("active") == 1, F.col("rule_key"))))
+    sets = found.population.groupBy(CHUNK, "chrom_id").agg(F.array_join(on, " ").alias("rules"))
+    return sets.join(found.fitness, [CHUNK, "chrom_id"]).select(CHUNK, "chrom_id", "rules", r6("fitness"))
 
 
 # Text outputs and inputs
@@ -597,7 +628,11 @@ QUERIES = {
     "ga_select": q_ga_select,
     "ga_best": q_ga_best,
     "ga_restart": q_ga_restart,
-    "ga_search": q_ga_search,
+    "ga_search": q_ga_search(GA_SEARCH),
+    "ga_search_one": q_ga_search(GA_POP + 1),
+    "ga_population": q_ga_population,
+    "ga_history": q_ga_history(D.EVENTS, n_chunks=GA_CHUNKS, n_evaluations=GA_SEARCH),
+    "ga_history_restarts": q_ga_history(D.HOURS, **GA_TINY),
     "prune_rules": q_prune_rules,
     "pruned_rule_counts": q_pruned_counts,
     "rule_text": q_rule_text,

@@ -430,6 +430,10 @@ class _Search:
     def running(self) -> bool:
         return self.budget > 0 and self.best < 1.0 and self.resets < MAX_RESETS
 
+    def entry(self, generation: int, chunk_id: int, new: int) -> dict:
+        """A line of the log: where the chunk stands after a generation and its new children."""
+        return {"generation": generation, "chunk_id": chunk_id, "best": self.best, "new": new, "budget": self.budget, "resets": self.resets}
+
 
 def select_rules(
     df: DataFrame, schema: RuleSchema, chunk_rules: DataFrame, params: Params, row_id: str, chunk=None
@@ -454,7 +458,7 @@ def select_rules(
     states = {
         k: _Search(n, params.n_evaluations - size, top[k], n * BITS_PER_GENE / 4.0) for k, n in counts.items()
     }
-    history = [{"generation": 0, "chunk_id": k, "best": s.best, "new": size} for k, s in states.items()]
+    history = [s.entry(0, k, size) for k, s in states.items()]
 
     generation = 0
     while any(s.running for s in states.values()):
@@ -489,7 +493,6 @@ def select_rules(
             if n == 0:
                 s.threshold -= BITS_PER_GENE
                 stuck.append(k)
-            history.append({"generation": generation, "chunk_id": k, "best": s.best, "new": n})
         if stuck:
             # A population of one and the same chromosome cannot change before the
             # threshold has run out, so the idle generations are not run.
@@ -515,4 +518,5 @@ def select_rules(
                     s.resets += 1
                     if r["f"] > s.best:
                         s.best, s.resets = r["f"], 0
+        history += [states[k].entry(generation, k, found.get(k, (0, 0.0))[0]) for k in running]
     return Selection(apply_best(rules, pop, fit), pop, fit, history)
