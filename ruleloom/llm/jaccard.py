@@ -41,6 +41,8 @@ SHARD = 4096
 BUCKET_BYTES = 16 << 20
 BROADCAST_CLASSES = 1_000_000
 FIRST_TRIES = 8
+#: Hits of a bucket that wait for being counted.
+HIT_BYTES = 16 << 20
 
 TOKEN = np.dtype([("token", "<u8"), ("class", "<i8")])
 SHARED = np.dtype([("class", "<i8"), ("token", "<u8"), ("k", "<i8")])
@@ -248,7 +250,7 @@ def _bound(buckets: int):
     def step(records):
         records = records[np.lexsort((records["group"], records["token"]))]
         at = _runs(records["token"])
-        found = []
+        found, size = [], 0
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             run = records[a:b]
             queries, members = run[run["role"] & QUERY > 0], run[run["role"] & MEMBER > 0]
@@ -256,13 +258,19 @@ def _bound(buckets: int):
                 continue
             g = _runs(members["group"])
             groups, count, sole = members["group"][g[:-1]], np.diff(g), members["class"][g[:-1]]
-            for first in range(0, len(queries), 4096):
-                q = queries[first : first + 4096]
+            step = max(1, HIT_BYTES // (HIT.itemsize * len(groups)))
+            for first in range(0, len(queries), step):
+                q = queries[first : first + step]
                 hit = (count[None, :] > 1) | (sole[None, :] != q["class"][:, None])
                 i, j = np.nonzero(hit)
                 out = np.zeros(len(i), HIT)
                 out["class"], out["group"], out["need"], out["hits"] = q["class"][i], groups[j], q["need"][i], 1
                 found.append(out)
+                size += out.nbytes
+                # Tokens of one family hit the same pairs again and again: count before they pile up.
+                if size > HIT_BYTES:
+                    found = [_count_hits(np.concatenate(found))]
+                    size = 0
         out = _count_hits(np.concatenate(found) if found else np.zeros(0, HIT))
         return out, (mixed(out["class"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
@@ -305,7 +313,8 @@ def _verify(rule: Rule):
 
     def run(table: pa.Table) -> pa.Table:
         role, ids, n = table.column("role").to_numpy(), table.column("class").to_numpy(), table.column("n").to_numpy()
-        sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("tokens")]
+        data, bounds = column_bytes(table.column("tokens"))
+        sets = [data[a:b].view("<u8") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         rows = np.flatnonzero(role == MEMBER)
         nodes = {c: i for i, c in enumerate(dict.fromkeys(ids.tolist()))}
         root = np.arange(len(nodes))
