@@ -93,8 +93,13 @@ def _block_words(raw: np.ndarray, firsts: np.ndarray, lower: bool, parting: np.n
         hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     stems = np.zeros(len(starts) if stem else 0, np.uint64)
     if stem:
-        long = np.flatnonzero(lengths >= stem)
-        stems[long] = mixed(sum(values[heads[long] + k] for k in range(stem)) ^ np.uint64(0x6A09E667F3BCC909))
+        lead = (letters & 0xC0) != 0x80
+        lead[heads] = True
+        letter = np.cumsum(lead, dtype=np.int32)
+        letter -= np.repeat(letter[heads] - 1, lengths)
+        front = np.add.reduceat(np.where(letter <= stem, values, np.uint64(0)), heads)
+        long = letter[heads + lengths - 1] >= stem
+        stems[long] = mixed(front[long] ^ np.uint64(0x6A09E667F3BCC909))
     return starts, mixed(hashes), stems
 
 
@@ -104,7 +109,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True, partin
 
 
 def stemmed_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool, parting: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As word_hashes, and hashes of the words' first ``stem`` bytes, 0 for shorter words."""
+    """As word_hashes, and hashes of the words' first ``stem`` letters (UTF-8 code points), 0 for shorter words."""
     hashes, stems, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(len(bounds) - 1, np.int64)
     for start, end, inner in _blocks(data, bounds, parting):
         starts, h, s = _block_words(data[start:end], inner[:-1] - start, lower, parting, stem)

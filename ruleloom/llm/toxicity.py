@@ -4,7 +4,7 @@ A word (a run of letters, A-Z lower-cased) scores its log-odds between toxic and
 proportion to the word's overall frequency; any other word costs a little. The prior rules the size of a score only. Which
 words score is a likelihood ratio test on the raw counts, at a level for the number of words tested, so a word of a small
 language enters as its texts gather, whatever its share of all texts.
-A word's first STEM bytes score alike, for words that vary at their ends; the better of both scores holds. A word counts
+A word's first STEM letters score alike, for words that vary at their ends; the better of both scores holds. A word counts
 once for each text, and copies or near copies of a text count as one, lest their words look toxic.
 Ruzzo and Tompa's linear scan then finds all maximal scoring segments of a text, and extreme-value statistics (Karlin
 and Altschul) say how probable such a segment is in a clean text of that length. The surprise of all segments together
@@ -14,7 +14,9 @@ Fitting takes about FIT_ROWS labelled texts, drawn by hash of the id; the lexico
 that score all texts in one scan. Whole texts are scanned, of any length.
 
 Null and empty texts have no segments and get the score of such texts. Labels without value are not used; of several
-labels of an id the largest holds. Without labels every score is 0. Repeated rows are scored alike.
+labels of an id the largest holds. Without labels every score is 0. Repeated rows and null ids are scored like others. Of
+copies in the fitting sample the row with the smallest id counts, so ties do not follow the order of rows. An empty table
+gives an empty result. Columns other than doc_id and text (doc_id and toxic of labels) are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from ruleloom.llm.text import NOT_LETTERS, column_bytes, inner_grams, mixed, ran
 
 FIT_ROWS = 24_000
 LEXICON = 50_000
-#: Words of inflected languages are also known by so many first bytes.
+#: Words of inflected languages are also known by so many first letters.
 STEM = 4
 PRIOR = 20_000.0
 #: A word of the lexicon occurs in so many texts at least, and at most this share of the lexicon is there by chance.
@@ -44,23 +46,27 @@ THRESHOLD = 0.3
 
 def segments(places: list[int], scores: list[float], cost: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first place, last place, score); places between those given cost ``cost`` each."""
-    found: list[list] = []
+    # A segment keeps its first and last place, the totals left and right of it, and the nearest earlier segment of
+    # smaller left total. Searches follow that link only, so each segment is passed over once: linear time.
+    found: list[tuple[int, int, float, float, int]] = []
     total, before = 0.0, None
     for place, score in zip(places, scores):
         if before is not None:
             total -= cost * (place - before - 1)
-        now = [place, place, total, total + score]
-        total, before = total + score, place
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
-                found.append(now)
+        first, low, high = place, total, total + score
+        total, before = high, place
+        j = len(found) - 1
+        while j >= 0:
+            if found[j][2] >= low:
+                j = found[j][4]
+            elif found[j][3] >= high:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
-            del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            else:
+                first, _, low, _, link = found[j]
+                del found[j:]
+                j = link
+        found.append((first, place, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def _looked_up(hashes: np.ndarray, words: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -100,7 +106,13 @@ def _marked(batches):
             for k, salt in enumerate((0, 0x2545F4914F6CDD1D)):
                 if len(text):
                     keys[k, a + text[first]] = np.minimum.reduceat(mixed(grams ^ np.uint64(salt)), first)
-        yield pa.record_batch([*batch.columns, *[pa.array(k.view(np.int64)) for k in keys]], names=["text", "toxic", "key1", "key2"])
+        yield pa.record_batch([*batch.columns, *[pa.array(k.view(np.int64)) for k in keys]], names=["doc_id", "text", "toxic", "key1", "key2"])
+
+
+def _one_of(rows: DataFrame, key: str) -> DataFrame:
+    """The row of the smallest id of each key."""
+    order = F.struct("doc_id", F.xxhash64("text"), "toxic")
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
 def _counted(batches):
@@ -174,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         return model
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) / 1e6
     chosen = F.broadcast(known.filter(draw < min(1.0, fit_rows / n)))
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").select("text", "toxic")
-    single = sample.mapInArrow(_marked, "text binary, toxic int, key1 long, key2 long").dropDuplicates(["key1"]).dropDuplicates(["key2"])
+    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+    single = _one_of(_one_of(sample.mapInArrow(_marked, "doc_id long, text binary, toxic int, key1 long, key2 long"), "key1"), "key2")
     counts = single.select("text", "toxic").mapInArrow(_counted, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = counts.persist()
     n0, n1 = (x or 0 for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())

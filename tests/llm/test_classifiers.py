@@ -84,3 +84,40 @@ def test_segments_are_the_maximal_ones(seed):
         return [*split(a, i), (i, j - 1, best[0]), *split(j, b)]
 
     assert toxicity.segments(places.tolist(), scores.tolist(), 1.0) == split(0, 40)
+
+
+def test_segment_scan_is_linear():
+    """Single hits that fall are the usual case in clean texts: earlier segments must not be walked again and again."""
+
+    class Counted(float):
+        steps = 0
+
+        def __ge__(self, other):
+            Counted.steps += 1
+            return float(self) >= float(other)
+
+        def __add__(self, other):
+            return Counted(float(self) + float(other))
+
+        __radd__ = __add__
+
+        def __sub__(self, other):
+            return Counted(float(self) - float(other))
+
+    n = 16_000
+    for scores in ([Counted(1.0)] * n, [Counted(1.0 + k % 7) for k in range(n)]):
+        Counted.steps = 0
+        found = toxicity.segments(list(range(0, 9 * n, 9)), scores, Counted(1.0))
+        assert sum(s for *_, s in found) > 0 and Counted.steps <= 6 * n
+
+
+def test_stems_are_letters():
+    import pyarrow as pa
+
+    from ruleloom.llm.text import NOT_LETTERS, column_bytes, stemmed_hashes
+
+    stems = lambda *w: stemmed_hashes(*column_bytes(pa.array([x.encode() for x in w])), True, NOT_LETTERS, 4)[2].tolist()
+    a, b, c, short = stems("дурачок", "дурак", "дубина", "дур")
+    assert a == b != c and short == 0 and a != 0
+    one, two, plain = stems("été", "étés", "vileness")
+    assert one == 0 and two != 0 and plain == stems("vile")[0]
