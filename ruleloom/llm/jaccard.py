@@ -13,13 +13,15 @@ prefix of both, so:
 5. alternating stars turn links into components.
 
 The query of a pair is its smaller class. No candidate is dropped: a group is split into shards and its visitors into
-chunks, so a task holds at most 2 * SHARD classes, and all shards are offered to all queries. Hashes have 58 bits.
+chunks by number of classes (SHARD) and by bytes of their token sets (SET_BYTES), and every chunk meets every shard, so a
+task holds about 2 * SET_BYTES of sets at most, or two sets that are longer. Hashes have 58 bits.
 
 The order comes from a table of SLOTS counters over all documents' shingles (fixed size, sent to all tasks). Any order
 gives the same result; this one keeps passages that many documents share out of the prefixes.
 
 A text with fewer words than a shingle is one shingle; null or empty texts link with nothing. Repeated rows and equal
-ids are rows like others. Extra columns are not read.
+ids are rows like others; null ids give a null component_id if no row of their component has an id. An empty table gives an
+empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ SHARD = 4096
 BUCKET_BYTES = 16 << 20
 BROADCAST_CLASSES = 1_000_000
 FIRST_TRIES = 8
+#: Token sets of one side of a task.
+SET_BYTES = 32 << 20
 #: Hits of a bucket that wait for being counted.
 HIT_BYTES = 16 << 20
 
@@ -121,12 +125,12 @@ def _sketch(n: int):
                 s1, s2 = signatures(grams, at)
                 m = b - a
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, m), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), none(m, pa.int32()), none(m, pa.binary())],
-                    names=["doc_id", "n", "s1", "s2", "range", "counts"],
+                    [batch.column("doc_id").slice(a, m), batch.column("h").slice(a, m), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), none(m, pa.int32()), none(m, pa.binary())],
+                    names=["doc_id", "h", "n", "s1", "s2", "range", "counts"],
                 )
         blobs = [x.tobytes() for x in counts.reshape(RANGES, -1)]
-        longs = [none(RANGES, pa.int64())] * 4
-        yield pa.record_batch([*longs, pa.array(np.arange(RANGES, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "n", "s1", "s2", "range", "counts"])
+        longs = [none(RANGES, pa.int64())] * 5
+        yield pa.record_batch([*longs, pa.array(np.arange(RANGES, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "h", "n", "s1", "s2", "range", "counts"])
 
     return run
 
@@ -362,15 +366,22 @@ def _verify(rule: Rule):
     return run
 
 
-def near_components(docs: DataFrame, shingle: int = 4, percent: int = 85, shard: int = SHARD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def near_components(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    return _labelled(docs, **kw).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(
+    docs: DataFrame, shingle: int = 4, percent: int = 85, shard: int = SHARD, bucket_bytes: int = BUCKET_BYTES, set_bytes: int = SET_BYTES
+) -> DataFrame:
+    """As near_components, with a hash of the text and whether the row's class leads its component."""
     rule, spark = Rule(percent), docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = part_count(docs, bucket_bytes)
-    as_bytes = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sketch = written(as_bytes.mapInArrow(_sketch(shingle), "doc_id long, n long, s1 long, s2 long, range int, counts binary"), "sketch")
+    as_bytes = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    sketch = written(as_bytes.mapInArrow(_sketch(shingle), "doc_id long, h long, n long, s1 long, s2 long, range int, counts binary"), "sketch")
     level = spark.sparkContext.broadcast(levels(sketch))
-    rows = sketch.filter(F.col("range").isNull()).select("doc_id", "n", "s1", "s2")
+    rows = sketch.filter(F.col("range").isNull()).select("doc_id", "h", "n", "s1", "s2")
     key = ["n", "s1", "s2"]
 
     tokens = _token_rows(docs, shingle, level, False, rule).groupBy(*key).agg(F.first("q_last").alias("q_last"), F.first("tokens").alias("tokens"))
@@ -393,20 +404,25 @@ def near_components(docs: DataFrame, shingle: int = 4, percent: int = 85, shard:
     sets = _token_rows(some, shingle, level, True, rule).join(small(chosen.select("class", *key)), key).dropDuplicates(["class"])
     sets = written(sets.select("class", "n", "tokens"), "sets")
 
-    visits = opened.groupBy("group").agg(F.count(F.lit(1)).alias("visits"))
-    chunks = F.ceil(F.col("visits") / shard).cast("int")
-    visitors = opened.join(visits, "group").select("class", "group", F.pmod(F.xxhash64("class"), chunks).cast("int").alias("chunk"), F.lit(QUERY).alias("role"))
-    hosts = members.join(visits, "group").select("class", "group", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(MEMBER).alias("role"))
+    sizes = chosen.select("class", "n")
+    opened, members = opened.join(small(sizes), "class"), members.join(small(sizes), "class")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / shard, F.sum("n") * 8 / set_bytes)).cast("int")
+    cut = opened.groupBy("group").agg(parts.alias("chunks")).join(members.groupBy("group").agg(parts.alias("shards")), "group")
+    some_of = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    visitors = opened.join(cut, "group").select("class", "group", some_of("chunks").alias("chunk"), each_of("shards").alias("shard"), F.lit(QUERY).alias("role"))
+    hosts = members.join(cut, "group").select("class", "group", each_of("chunks").alias("chunk"), some_of("shards").alias("shard"), F.lit(MEMBER).alias("role"))
     tasks = visitors.union(hosts).join(sets, "class")
-    edges = tasks.groupBy("group", "chunk").applyInArrow(_verify(rule), "a long, b long")
+    edges = tasks.groupBy("group", "chunk", "shard").applyInArrow(_verify(rule), "a long, b long")
     roots = components(edges)
 
     named = classes.select("class", "least_id", *key).join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
-    smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = named.join(smallest, "root").select(*key, "component_id")
-    full = rows.filter("n > 0").join(label, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
+    first = F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", *key)).alias("lead")
+    leads = F.struct(*key) == F.struct(*[F.col(f"lead.{c}").alias(c) for c in key])
+    label = named.join(named.groupBy("root").agg(first), "root").select(*key, F.col("lead.least_id").alias("component_id"), leads.alias("leads"))
+    full = rows.filter("n > 0").join(label, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "h", "leads")
+    return full.union(rows.filter("n = 0").select("doc_id", "n", "doc_id", "h", F.lit(True)))
 
 
 def _class_buckets(buckets: int):
@@ -420,9 +436,13 @@ def _class_buckets(buckets: int):
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each component, and rows without words."""
-    found = near_components(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["stays"]), "left_semi")
+    """The rows of ``docs`` that stay: the smallest id of each component, and rows without words.
+
+    Ids need not be unique: a row is known by id and text, so a near copy under the id of a row that stays goes. Rows equal in both stay.
+    """
+    lead = _labelled(docs, **kw).filter(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = lead.select(F.col("doc_id").alias("stays"), F.col("h").alias("as_text")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["stays"]) & (F.xxhash64(docs["text"]) == found["as_text"]), "left_semi")
 
 
 def op4(spark, sf_dir) -> DataFrame:

@@ -35,6 +35,20 @@ def test_components_equal_all_pairs(spark, seed, shard):
     assert sorted(map(tuple, found.collect())) == plain(rows)
 
 
+def test_tasks_are_cut_by_bytes(spark):
+    rows = corpus(300, 4)
+    for set_bytes in (800, 20_000):
+        assert sorted(map(tuple, near_components(frame(spark, rows), set_bytes=set_bytes).collect())) == plain(rows)
+
+
+def test_one_row_stays_of_a_component_with_equal_ids(spark):
+    base = " ".join("w%d" % i for i in range(80))
+    rows = [(1, base), (2, base + " x"), (2, "quite another text of a few words"), (1, base + " y"), (3, base + " z"), (None, base + " q"), (4, ""), (4, None)]
+    kept = sorted(((r.doc_id or 0, r.text) for r in one_of_each(frame(spark, rows)).collect()), key=str)
+    assert [k for k in kept if k[1] and k[1].startswith("w0")] in ([(1, base)], [(1, base + " y")])
+    assert (2, rows[2][1]) in kept and (4, "") in kept and (4, None) in kept and len(kept) == 4
+
+
 def test_large_family_and_common_passage(spark):
     base = ["v%d" % i for i in range(120)]
     rows = []
