@@ -35,15 +35,15 @@ def predictions_of(ds, inference="winning_rule", **kw):
     return sql(model(ds, **kw) + scored(ds, inference), PREDICTIONS)
 
 
-def matrix_of(ds, **kw):
-    return model(ds, **kw) + scored_rows(ds) + matrix(ds)
+def matrix_of(ds, inference="winning_rule", **kw):
+    return model(ds, **kw) + scored_rows(ds, inference) + matrix(ds)
 
 
-def scored_rows(ds):
+def scored_rows(ds, inference="winning_rule"):
     """Predictions of tables without a row id need a number of their own."""
     if ds.row_id is not None:
-        return scored(ds)
-    return [("fzn", "SELECT *, row_number() OVER () AS rid0 FROM fz")] + scored(ds, fz="fzn", rid="rid0")
+        return scored(ds, inference)
+    return [("fzn", "SELECT *, row_number() OVER () AS rid0 FROM fz")] + scored(ds, inference, fz="fzn", rid="rid0")
 
 
 def class_profile_sql(ds):
@@ -159,6 +159,10 @@ def fold_metrics(which, **kw):
     return fold_predictions(which, **kw) + matrix(D.EVENTS, by="fold") + auc(by="fold")
 
 
+def validated(part):
+    return sql(fold_metrics(part), f"SELECT fold, '{part}' AS part, {AUC_COLUMNS} FROM rates")
+
+
 # Rule selection: two chunks, a population of ten.
 
 
@@ -507,6 +511,8 @@ EXPECTED = {
     "confusion_matrix_pcf": sql(matrix_of(D.EVENTS, weight="pcf"), MATRIX),
     "confusion_matrix_chunked": sql(matrix_of(D.EVENTS, chunks=4), MATRIX),
     "confusion_matrix_multiclass": sql(matrix_of(D.ORDERS, n_labels=5), MATRIX),
+    "order_line_confusion": sql(matrix_of(D.ORDER_LINES), MATRIX),
+    "order_line_confusion_additive": sql(matrix_of(D.ORDER_LINES, "additive"), MATRIX),
     "confusion_matrix_embeddings_64": sql(matrix_of(D.EMBEDDINGS_64), MATRIX),
     "lineitem_confusion": sql(matrix_of(D.LINEITEM), MATRIX),
     "confusion_pivot": sql(
@@ -532,6 +538,7 @@ EXPECTED = {
         "SELECT count(*) AS n_folds, round(avg(auc), 6) AS mean_auc FROM m",
     ),
     "folds_text": folds_text_sql(),
+    "validate_files": f"SELECT * FROM ({validated('test')}) UNION ALL SELECT * FROM ({validated('train')})",
     "ga_init": sql(ga_base(), "SELECT chunk_id, chrom_id, rule_key, active FROM pop"),
     "ga_pairs": sql(ga_base() + ga_pairing(), "SELECT chunk_id, chrom_id, pair, side FROM pairs"),
     "ga_hux": sql(ga_base() + ga_children(), "SELECT chunk_id, chrom_id, rule_key, active FROM kids"),
@@ -593,6 +600,9 @@ EXPECTED = {
         CAST(sum(x1) AS BIGINT) AS sum_f1, CAST(sum(x2) AS BIGINT) AS sum_f2 FROM t GROUP BY 1""",
     ),
     "text_rules": text_rules_sql(),
+    "drop_counts": """SELECT CASE WHEN event_type = 'click' THEN 'fields' WHEN event_type NOT IN ('error', 'view') THEN 'class'
+        WHEN hour(ts) IN (3, 4, 5) THEN 'number' WHEN hour(ts) >= 20 THEN 'value' ELSE 'kept' END AS reason, count(*) AS n
+        FROM events GROUP BY 1""",
     "header_items": HEADER,
     "header_schema": HEADER_SCHEMA,
 }

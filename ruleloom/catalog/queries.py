@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +13,20 @@ from ruleloom.functions.membership import class_index, pick
 from ruleloom.operators import counters, selection
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of, encode, fuzzify, own_labels, rule_key
 from ruleloom.operators.evaluate import accuracy, binary_auc, confusion_matrix, confusion_pivot, mean_auc
+from ruleloom.operators.faults import line_drop_counts
 from ruleloom.operators.grid import GRID_FEATURES
 from ruleloom.operators.profile import class_profile, feature_ranges, most_frequent_class, nominal_values, profile
 from ruleloom.operators.score import fired_rules, score
 from ruleloom.operators.support import candidate_rules, rule_support
 from ruleloom.operators.weights import class_weights, keep_rules
 from ruleloom.params import Params
-from ruleloom.plans.crossval import cross_validate
+from ruleloom.plans.crossval import cross_validate, validate_folds
 from ruleloom.plans.learn import Model, learn, learn_chunks
-from ruleloom.schema import RuleSchema, fuzzy_sets
-from ruleloom.session import cut_lineage
+from ruleloom.schema import NOMINAL, RuleSchema, Variable, fuzzy_sets
+from ruleloom.session import cut_lineage, ensure_checkpoint_dir
 from ruleloom.sinks import text
 from ruleloom.sources.examples import split_examples
+from ruleloom.sources.folds import TEST_FILE, TRAIN_FILE, read_folds
 from ruleloom.sources.header import header_items, schema_from_items
 from ruleloom.sources.rulefiles import parse_compact
 
@@ -310,6 +314,20 @@ def q_fold_average(spark, sf_dir):
     return mean_auc(folds(spark, sf_dir).metrics("test")).select("n_folds", r6("mean_auc"))
 
 
+def q_validate_files(spark, sf_dir):
+    """Pairs of fold files written from the events and read back in one scan."""
+    df, schema = setup(spark, sf_dir, D.EVENTS)
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in schema.file_columns]).alias("value")
+    name = f"{ensure_checkpoint_dir(spark)}/folds-{uuid.uuid4().hex}/events"
+    for i in range(FOLDS):
+        here = F.pmod("row_id", F.lit(FOLDS)) == i
+        df.filter(~here).select(line).write.text(TRAIN_FILE.format(name=name, fold=i + 1))
+        df.filter(here).select(line).write.text(TEST_FILE.format(name=name, fold=i + 1, suffix="tst.dat"))
+    rows = read_folds(spark, name, "tst.dat", FOLDS, schema)
+    m = validate_folds(rows, schema, Params(rule_weight="cf", n_folds=FOLDS))
+    return m.select("fold", "part", "tp", "fn", "fp", "tn", r6("auc"))
+
+
 # Rule selection
 
 
@@ -503,6 +521,18 @@ def q_text_rules(spark, sf_dir):
     return rule_rows(learn(rows, schema, Params(rule_weight="cf")).rules)
 
 
+def q_drop_counts(spark, sf_dir):
+    """Why lines are left out: a field too many, a class, number or hour that the schema doesn't know."""
+    _, s = setup(spark, sf_dir, D.EVENTS)
+    hours = Variable("f1", NOMINAL, values=tuple(str(h) for h in range(20)))
+    schema = RuleSchema((s.variables[0], hours, s.variables[2]), "y", ("error", "view"), (1, 1), 3)
+    bad = D.events_with_bad_numbers(spark, sf_dir).drop("y")
+    kind = D.read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "event_type")
+    tail = F.when(F.col("event_type") == "view", ",").when(F.col("event_type") == "click", ",x").otherwise("")
+    fields = F.concat_ws(", ", "f0", F.col("f1").cast("string"), F.col("f2").cast("string"), "event_type")
+    return line_drop_counts(bad.join(kind, "row_id").select(F.concat(fields, tail).alias("value")), schema)
+
+
 def header_lines(spark, sf_dir):
     """A dataset header written from the labelled documents."""
     docs = D.labelled_documents(spark, sf_dir)
@@ -610,6 +640,8 @@ QUERIES = {
     "confusion_matrix_multiclass": q_matrix(D.ORDERS, n_labels=5),
     "confusion_matrix_embeddings_64": q_embedding_matrix(D.EMBEDDINGS_64, 3),
     "lineitem_confusion": q_matrix(D.LINEITEM),
+    "order_line_confusion": q_matrix(D.ORDER_LINES),
+    "order_line_confusion_additive": q_matrix(D.ORDER_LINES, inference="additive"),
     "confusion_pivot": q_pivot(D.EVENTS),
     "binary_auc": q_auc(D.EVENTS),
     "binary_auc_documents": q_auc(D.DOCUMENTS, rule_weight="pcf"),
@@ -621,6 +653,7 @@ QUERIES = {
     "cross_validate_chunked": q_fold_metrics("test", n_chunks=2, rule_weight="pcf"),
     "cross_validate_mean": q_fold_average,
     "folds_text": q_folds_text,
+    "validate_files": q_validate_files,
     "ga_init": q_ga_init,
     "ga_pairs": q_ga_pairs,
     "ga_hux": q_ga_hux,
@@ -645,6 +678,7 @@ QUERIES = {
     "variables_text": q_variables_text,
     "text_scan": q_text_scan,
     "text_rules": q_text_rules,
+    "drop_counts": q_drop_counts,
     "header_items": q_header_items,
     "header_schema": q_header_schema,
 }

@@ -55,17 +55,21 @@ def other_folds(df: DataFrame, n_folds: int) -> DataFrame:
     return df.withColumn("__m", F.explode(others)).drop(FOLD).withColumnRenamed("__m", FOLD)
 
 
-def fold_rules(df: DataFrame, schema: RuleSchema, params: Params, row_id: str) -> DataFrame:
+def fold_rules(df: DataFrame, schema: RuleSchema, params: Params, row_id: str, own: bool = False) -> DataFrame:
     """``(fold, rule_key, class_idx, weight)``: the rule base without each fold.
 
-    ``df`` has a ``fold`` column.
+    ``df`` has a ``fold`` column. With ``own`` a fold's rows are its training rows.
     """
     k, group = params.n_folds, [FOLD, CHUNK]
+
+    def training(table):
+        return table if own else other_folds(table, k)
+
     if params.n_evaluations > 0 or (params.rule_weight != "none" and not Grid(schema).is_small):
         # Selection and wide tables have no additive sums: one run per fold.
         one = replace(params, n_folds=0)
         parts = [
-            learn(df.filter(F.col(FOLD) != i), schema, one, row_id).rules.withColumn(FOLD, F.lit(i))
+            learn(df.filter(F.col(FOLD) == i if own else F.col(FOLD) != i), schema, one, row_id).rules.withColumn(FOLD, F.lit(i))
             for i in range(k)
         ]
         return reduce(DataFrame.unionByName, parts).select(FOLD, "rule_key", CLASS, "weight")
@@ -74,10 +78,10 @@ def fold_rules(df: DataFrame, schema: RuleSchema, params: Params, row_id: str) -
         rows = encode(df, schema, [*cols, F.col(row_id).alias("row_id")], params.bad_rows)
         seen = rows.select(*group, CLASS, rule_key(own_labels(schema)).alias("rule_key"), "row_id")
         firsts = seen.groupBy(*group, "rule_key", CLASS).agg(F.min("row_id").alias("first_row"))
-        local = first_class(other_folds(firsts, k), group)
+        local = first_class(training(firsts), group)
     else:
         rows = encode(df, schema, cols, params.bad_rows)
-        cells = other_folds(cell_sums(rows, schema, group, params.weight_features), k)
+        cells = training(cell_sums(rows, schema, group, params.weight_features))
         sums = corner_support(cells, schema, group, params.weight_features)
         local = best_class(class_weights(with_costs(sums, schema, params), params.rule_weight, group), group)
     if params.n_chunks == 1:
@@ -115,3 +119,14 @@ def validate_files(pairs, schema: RuleSchema, params: Params) -> DataFrame:
             matrix = confusion_matrix(model.predict(table, "row_id"), schema)
             out.append(binary_auc(matrix).select(F.lit(i).alias(FOLD), F.lit(which).alias("part"), "tp", "fn", "fp", "tn", "auc"))
     return reduce(DataFrame.unionByName, out)
+
+
+def validate_folds(rows: DataFrame, schema: RuleSchema, params: Params, row_id: str = "row_id") -> DataFrame:
+    """``(fold, part, tp, fn, fp, tn, auc)`` over a table with columns ``fold`` and ``part`` (train or test).
+
+    All folds are learned in one pass and scored in one more; a test row need not be a training row of another fold.
+    """
+    rules = fold_rules(rows.filter(F.col("part") == "train"), schema, params, row_id, own=True)
+    by = [FOLD, "part"]
+    found = score(rows, schema, rules, params, row_id, keep=by, group=[FOLD], n_groups=params.n_folds)
+    return binary_auc(confusion_matrix(found, schema, by), by=by).select(*by, "tp", "fn", "fp", "tn", "auc")

@@ -108,8 +108,8 @@ def write_counters(means: DataFrame, schema: RuleSchema, path: str, mode: str =
 
 
 def append_fold_metrics(metrics: DataFrame, path: str) -> None:
-    """Add fold metrics to a table that grows fold by fold."""
-    metrics.write.mode("append").parquet(path)
+    """Add fold metrics to a table that grows fold by fold; a fold written again replaces its earlier rows."""
+    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold").parquet(path)
 
 
 def write_fold_average(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ruleloom import Params, classify, learn
 from ruleloom.operators import counters
 from ruleloom.operators.evaluate import mean_auc
-from ruleloom.plans.crossval import validate_files
+from ruleloom.operators.faults import drop_counts, watched
+from ruleloom.plans.crossval import validate_files, validate_folds
 from ruleloom.sinks import tables, text
 from ruleloom.sources.examples import read_examples
-from ruleloom.sources.folds import fold_files
+from ruleloom.sources.folds import fold_files, read_folds
 from ruleloom.sources.header import class_sizes, numeric_range, read_header, value_list
 from ruleloom.sources.rulefiles import read_compact_rules
 
@@ -146,7 +147,24 @@ def test_fold_files_and_averages(spark, files):
     metrics = validate_files(pairs, schema, Params(rule_weight="cf"))
     for part in metrics.filter("part = 'test'").orderBy("fold").collect():
         text.append_fold_metrics(spark.createDataFrame([part], metrics.schema), str(files / "auc"))
+    again = metrics.filter("part = 'test' and fold = 1")
+    text.append_fold_metrics(again, str(files / "auc"))
+    rows = read_folds(spark, str(files / "d"), "tst.dat", 2, schema)
+    once = validate_folds(rows, schema, Params(rule_weight="cf", n_folds=2))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, metrics.collect()))
     stored = spark.read.parquet(str(files / "auc"))
     assert mean_auc(stored).first().n_folds == 2
     text.write_fold_average(stored, str(files / "avg"))
     assert lines_of(spark, str(files / "avg"))[0] == " Number of iterations = 2"
+
+
+def test_reasons_are_observed_without_a_pass(spark, files):
+    schema = read_header(spark, str(files / "h.txt"), 3)
+    rows = [("1", "0", "red", "p"), ("x", "0", "red", "p"), ("inf", "0", "red", "n"), (None, "0", "red", "n")]
+    rows += [("1", "9", "red", "p"), ("1", "0", None, "n"), ("1", "0", "red", "q"), ("1", "0", "red", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, y string")
+    counts = {r.reason: r.n for r in drop_counts(df, schema).collect()}
+    assert counts == {"kept": 1, "number": 3, "value": 2, "class": 2}
+    seen = Observation()
+    assert watched(df, schema, seen).count() == 8 and seen.get == counts
+    assert drop_counts(df.limit(0), schema).collect() == []
