@@ -244,8 +244,7 @@ def chromosome_masks(population: DataFrame) -> DataFrame:
 
 
 def _outcomes_from_rankings(evidence: Evidence, population: DataFrame, default: int) -> DataFrame:
-    """``(chunk_id, chrom_id, actual, said, hits, n)`` from bit sets: rows, rows called
-    positive and rows called right.
+    """``(chunk_id, chrom_id, actual, is_pos, is_hit, n)`` from bit sets.
 
     Folding a ranking hands each chromosome to its first active rule, all
     chromosomes of a word at once. The masks are small (checked before rankings
@@ -271,16 +270,17 @@ def _outcomes_from_rankings(evidence: Evidence, population: DataFrame, default:
         .withColumn("f", F.aggregate("ranking", start, step))
         .select(CHUNK, "word", "present", "actual", pos.alias("pos"), ok.alias("ok"), "n")
     )
-    # One sum per slot of a word, so rankings are not multiplied; slots become rows afterwards.
-    slots = range(WORD_BITS)
-    counted = sums.groupBy(CHUNK, "word", "actual", "present").agg(
-        F.sum("n").alias("n"),
-        *[F.sum(F.col("n") * F.getbit(bits, F.lit(p))).alias(f"{bits}{p}") for bits in ("pos", "ok") for p in slots],
+    slots = F.filter(
+        F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda p: F.getbit(F.col("present"), p) == 1
     )
-    cells = F.array(*[F.struct(F.col(f"pos{p}").alias("said"), F.col(f"ok{p}").alias("hits")) for p in slots])
-    each = counted.select(CHUNK, "word", "actual", "present", "n", F.posexplode(cells).alias("slot", "cell"))
-    return each.filter(F.getbit("present", F.col("slot")) == 1).select(
-        CHUNK, (F.col("word") * WORD_BITS + F.col("slot")).alias("chrom_id"), "actual", "cell.said", "cell.hits", "n"
+    each = sums.withColumn("slot", F.explode(slots))
+    return each.select(
+        CHUNK,
+        (F.col("word") * WORD_BITS + F.col("slot")).alias("chrom_id"),
+        "actual",
+        F.getbit("pos", F.col("slot")).cast("int").alias("is_pos"),
+        F.getbit("ok", F.col("slot")).cast("int").alias("is_hit"),
+        "n",
     )
 
 
@@ -327,10 +327,7 @@ def _outcomes_from_pairs(
             (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"),
         )
     )
-    n = F.col("n")
-    return marked.unionByName(rest).select(
-        CHUNK, "chrom_id", "actual", (n * F.col("is_pos")).alias("said"), (n * F.col("is_hit")).alias("hits"), "n"
-    )
+    return marked.unionByName(rest)
 
 
 def fitness(
@@ -346,17 +343,18 @@ def fitness(
         outcomes = _outcomes_from_rankings(evidence, population, default)
     else:
         outcomes = _outcomes_from_pairs(evidence, population, params, default)
-    n, said, pos = F.col("n"), F.col("said"), F.col("actual") == 0
+    n = F.col("n")
+    pos, said = F.col("actual") == 0, F.col("is_pos") == 1
 
-    def total(cond, rows):
-        return F.sum(F.when(cond, rows).otherwise(0))
+    def total(cond):
+        return F.sum(F.when(cond, n).otherwise(0))
 
     counts = outcomes.groupBy(CHUNK, "chrom_id").agg(
-        total(pos, said).alias("tp"),
-        total(pos, n - said).alias("fn"),
-        total(~pos, said).alias("fp"),
-        total(~pos, n - said).alias("tn"),
-        F.sum("hits").alias("hits"),
+        total(pos & said).alias("tp"),
+        total(pos & ~said).alias("fn"),
+        total(~pos & said).alias("fp"),
+        total(~pos & ~said).alias("tn"),
+        total(F.col("is_hit") == 1).alias("hits"),
         F.sum("n").alias("n_rows"),
     )
     sizes = population.groupBy(CHUNK, "chrom_id").agg(
