@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ruleloom.functions.membership import pick
 from ruleloom.operators.encode import CLASS
+from ruleloom.operators.ranking import numbered
 from ruleloom.schema import RuleSchema
 
 # The wording of the text outputs, which other tools read.
@@ -26,9 +26,6 @@ COUNTER_HEAD = " Average of RB in each Map with total Map = "
 FOLDS_HEAD = " Number of iterations = "
 MEAN_HEAD = " Average AUC = "
 
-# Combinations of leading labels that rule numbering may count in one task.
-MAX_LEADS = 20_000
-
 
 def term_texts(schema: RuleSchema, antecedents: Column) -> list[Column]:
     """``name IS label`` for every feature of a rule."""
@@ -61,44 +58,13 @@ def compact_rule(antecedents: Column, class_idx: Column, weight: Column) -> Colu
     )
 
 
-def lead_length(schema: RuleSchema) -> int:
-    """How many leading features have at most ``MAX_LEADS`` label combinations."""
-    total, n = 1, 0
-    for i in range(len(schema.variables)):
-        total *= schema.label_count(i)
-        if total > MAX_LEADS:
-            break
-        n += 1
-    return max(n, 1)
-
-
-def numbered(rules: DataFrame, schema: RuleSchema) -> DataFrame:
-    """Rules numbered from 0 in antecedent order.
-
-    The rules need no single sorted task: they are counted per leading labels,
-    the few counts are added up in order, and each rule is ranked among those
-    with its own leading labels only.
-    """
-    rules = rules.withColumn("__lead", F.slice("antecedents", 1, lead_length(schema)))
-    counts = rules.groupBy("__lead").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__lead", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__lead").orderBy("antecedents"))
-    return (
-        rules.withColumn("__in", inside)
-        .join(starts, "__lead")
-        .withColumn("rule_no", F.col("__start") + F.col("__in") - 1)
-        .drop("__lead", "__in", "__start")
-    )
-
-
 def rule_lines(rules: DataFrame, schema: RuleSchema) -> DataFrame:
     """``(rule_no, line)`` of the readable rule base."""
     text = rule_text(schema, F.col("antecedents"), F.col(CLASS), F.col("weight"))
     a, b = RULE_LINE.split("{number}")
     b = b.split("{rule}")[0]
     line = F.concat(F.lit(a), F.col("rule_no").cast("string"), F.lit(b), text)
-    return numbered(rules, schema).select("rule_no", line.alias("line"))
+    return numbered(rules, ["antecedents"], "rule_no").select("rule_no", line.alias("line"))
 
 
 def compact_lines(rules: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from ruleloom.functions.membership import stable
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of, encode
 from ruleloom.operators.grid import Grid
+from ruleloom.operators.ranking import numbered
 from ruleloom.operators.score import cell_rules, corner_degree, default_index, fired_rules, look_up, place_rows, table_fits
 from ruleloom.operators.weights import keep_rules
 from ruleloom.params import Params
@@ -175,8 +176,7 @@ class Evidence:
 
 def number_rules(chunk_rules: DataFrame) -> DataFrame:
     """Rules numbered from 0 within their chunk, in key order."""
-    order = Window.partitionBy(CHUNK).orderBy("rule_key")
-    return chunk_rules.withColumn("rule_no", F.row_number().over(order) - 1)
+    return numbered(chunk_rules, ["rule_key"], "rule_no", [CHUNK]).withColumn("rule_no", F.col("rule_no").cast("int"))
 
 
 def row_rankings(
@@ -189,7 +189,7 @@ def row_rankings(
     map-side before the shuffle.
     """
     grid = Grid(schema)
-    chunk = chunk if chunk is not None else chunk_of(df, row_id, params.n_chunks)
+    chunk = chunk if chunk is not None else chunk_of(df, row_id, params.n_chunks, params)
     rows = encode(df, schema, [chunk.alias(CHUNK)], params.bad_rows).withColumnRenamed(CLASS, "actual")
     table = cell_rules(number_rules(chunk_rules), schema, [CHUNK], extra=["rule_no"])
     placed = place_rows(rows, grid, [CHUNK, "actual"])
@@ -218,7 +218,7 @@ def gather_evidence(
         rankings = cut_lineage(row_rankings(df, schema, chunk_rules, params, row_id, chunk))
         totals = rankings.groupBy(CHUNK, "actual").agg(F.sum("n").alias("n"))
         return Evidence(totals, rankings=rankings)
-    where = chunk if chunk is not None else chunk_of(df, row_id, params.n_chunks)
+    where = chunk if chunk is not None else chunk_of(df, row_id, params.n_chunks, params)
     rows = encode(df, schema, [F.col(row_id).alias("row_id"), where.alias(CHUNK)], params.bad_rows)
     rows = rows.withColumnRenamed(CLASS, "actual")
     pairs = fired_rules(rows, schema, chunk_rules, params, "row_id", keep=["actual"], group=[CHUNK])
