@@ -7,6 +7,7 @@ from ruleloom.catalog.oracle import (
     AUC_COLUMNS,
     auc,
     cut,
+    drawn,
     examples,
     fuzzified,
     labels_of,
@@ -114,11 +115,13 @@ def unseen_sql(default, inference="winning_rule"):
 # Cross-validation: every row once per model that does not leave its fold out.
 
 
-def fold_models(chunks=1, weight="cf"):
+def fold_models(chunks=1, weight="cf", by_digest=False):
     ds = D.EVENTS
-    ctes = examples(ds) + fuzzified(ds, chunks=chunks)
+    chunk = drawn(GA_SEED, "chunk", chunks) if by_digest else None
+    fold = drawn(GA_SEED, "fold", FOLDS) if by_digest else f"row_id % {FOLDS}"
+    ctes = examples(ds) + fuzzified(ds, chunks=chunks, chunk=chunk)
     ctes += [
-        ("fzf", f"SELECT *, CAST(row_id % {FOLDS} AS INTEGER) AS fold FROM fz"),
+        ("fzf", f"SELECT e.*, CAST({fold} AS INTEGER) AS fold FROM fz e"),
         (
             "fzm",
             f"SELECT f.* REPLACE (CAST(m.i * 100 + f.chunk_id AS INTEGER) AS chunk_id) FROM fzf f"
@@ -532,6 +535,15 @@ EXPECTED = {
     "cross_validate": sql(fold_metrics("test"), f"SELECT fold, {AUC_COLUMNS} FROM rates"),
     "cross_validate_train": sql(fold_metrics("train"), f"SELECT fold, {AUC_COLUMNS} FROM rates"),
     "cross_validate_chunked": sql(fold_metrics("test", chunks=2, weight="pcf"), f"SELECT fold, {AUC_COLUMNS} FROM rates"),
+    "cross_validate_drawn": sql(
+        fold_metrics("test", chunks=FOLDS, by_digest=True), f"SELECT fold, {AUC_COLUMNS} FROM rates"
+    ),
+    "cross_validate_drawn_train": sql(
+        fold_metrics("train", chunks=FOLDS, by_digest=True), f"SELECT fold, {AUC_COLUMNS} FROM rates"
+    ),
+    "assigned_sizes": f"""SELECT CAST({drawn(GA_SEED, "fold", FOLDS)} AS INTEGER) AS fold,
+        CAST({drawn(GA_SEED, "chunk", FOLDS)} AS INTEGER) AS chunk_id, count(*) AS n
+        FROM (SELECT event_id AS row_id FROM events) e GROUP BY ALL""",
     "cross_validate_mean": sql(
         fold_metrics("test")
         + [("m", "SELECT (1.0 + tp / nullif(tp + fn, 0)::DOUBLE - fp / nullif(fp + tn, 0)::DOUBLE) / 2.0 AS auc FROM rates")],

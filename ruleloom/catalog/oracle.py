@@ -53,7 +53,12 @@ def examples(ds: Dataset, where: str = "cls >= 0"):
     return [("ex", f"SELECT * FROM ({ds.sql}) WHERE {where}"), ("rng", f"SELECT {', '.join(facts)} FROM ex")]
 
 
-def fuzzified(ds: Dataset, n_labels: int = 3, chunks: int = 1, source: str = "ex", name: str = "fz"):
+def drawn(seed: int, purpose: str, n: int) -> str:
+    """A number below ``n`` from a digest of seed, purpose and row id."""
+    return f"('0x' || substr(md5('{seed}|{purpose}|' || e.row_id), 1, 8))::BIGINT % {n}"
+
+
+def fuzzified(ds: Dataset, n_labels: int = 3, chunks: int = 1, source: str = "ex", name: str = "fz", chunk: str | None = None):
     """Labels ``a*``, degree lists ``mu*`` and the rule key of every row."""
     cols = []
     for i, kind in enumerate(ds.kinds):
@@ -63,7 +68,7 @@ def fuzzified(ds: Dataset, n_labels: int = 3, chunks: int = 1, source: str = "ex
             cols.append(f"[{degrees}] AS mu{i}")
         else:
             cols.append(f"coalesce(list_position(g.v{i}, e.x{i}), 0) - 1 AS a{i}")
-    chunk = f"e.row_id % {chunks}" if chunks > 1 else "0"
+    chunk = chunk or (f"e.row_id % {chunks}" if chunks > 1 else "0")
     key = " || '|' || ".join(f"CAST(a{i} AS VARCHAR)" for i in range(len(ds.kinds)))
     inner = f"SELECT e.*, CAST({chunk} AS INTEGER) AS chunk_id, {', '.join(cols)} FROM {source} e CROSS JOIN rng g"
     return [(name, f"SELECT *, {key} AS rule_key FROM ({inner})")]

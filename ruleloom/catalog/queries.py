@@ -16,6 +16,7 @@ from ruleloom.operators.evaluate import accuracy, binary_auc, confusion_matrix,
 from ruleloom.operators.faults import line_drop_counts
 from ruleloom.operators.grid import GRID_FEATURES
 from ruleloom.operators.profile import class_profile, feature_ranges, most_frequent_class, nominal_values, profile
+from ruleloom.operators.ranking import numbered
 from ruleloom.operators.score import fired_rules, score
 from ruleloom.operators.support import candidate_rules, rule_support
 from ruleloom.operators.weights import class_weights, keep_rules
@@ -26,7 +27,7 @@ from ruleloom.schema import NOMINAL, RuleSchema, Variable, fuzzy_sets
 from ruleloom.session import cut_lineage, ensure_checkpoint_dir
 from ruleloom.sinks import text
 from ruleloom.sources.examples import split_examples
-from ruleloom.sources.folds import TEST_FILE, TRAIN_FILE, read_folds
+from ruleloom.sources.folds import TEST_FILE, TRAIN_FILE, fold_of, read_folds
 from ruleloom.sources.header import header_items, schema_from_items
 from ruleloom.sources.rulefiles import parse_compact
 
@@ -306,6 +307,13 @@ def q_fold_metrics(which, **kw):
     return run
 
 
+def q_assigned_sizes(spark, sf_dir):
+    """Rows of every fold and chunk, as many chunks as folds."""
+    df, params = D.events(spark, sf_dir), Params(n_chunks=FOLDS, n_folds=FOLDS, assign="digest", seed=GA_SEED)
+    fold, chunk = fold_of(df, "row_id", FOLDS, params), chunk_of(df, "row_id", FOLDS, params)
+    return df.groupBy(fold.alias("fold"), chunk.alias(CHUNK)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_folds_text(spark, sf_dir):
     return numbers_apart(text.folds_text(folds(spark, sf_dir).metrics("test")))
 
@@ -451,7 +459,7 @@ def q_rule_text(spark, sf_dir):
     df, model = trained(spark, sf_dir, D.DOCUMENTS)
     cls, w = F.col(CLASS), F.round("weight", 6)
     rendered = R.rule_text(model.schema, F.col("antecedents"), cls, F.format_string("%.6f", w))
-    return R.numbered(model.rules, model.schema).select("rule_no", rendered.alias("rule"))
+    return numbered(model.rules, ["antecedents"], "rule_no").select("rule_no", rendered.alias("rule"))
 
 
 def q_compact_rules(spark, sf_dir):
@@ -651,6 +659,9 @@ QUERIES = {
     "cross_validate": q_fold_metrics("test"),
     "cross_validate_train": q_fold_metrics("train"),
     "cross_validate_chunked": q_fold_metrics("test", n_chunks=2, rule_weight="pcf"),
+    "cross_validate_drawn": q_fold_metrics("test", n_chunks=FOLDS, assign="digest", seed=GA_SEED),
+    "cross_validate_drawn_train": q_fold_metrics("train", n_chunks=FOLDS, assign="digest", seed=GA_SEED),
+    "assigned_sizes": q_assigned_sizes,
     "cross_validate_mean": q_fold_average,
     "folds_text": q_folds_text,
     "validate_files": q_validate_files,

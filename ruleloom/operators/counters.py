@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of
 from ruleloom.functions.membership import class_index
+from ruleloom.params import Params
 from ruleloom.schema import RuleSchema, class_indices
 
 
@@ -37,9 +38,12 @@ def rule_base_size(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count(F.lit(1)).alias("n_rules"))
 
 
-def chunk_class_counts(df: DataFrame, schema: RuleSchema, row_id: str, n_chunks: int) -> DataFrame:
+def chunk_class_counts(
+    df: DataFrame, schema: RuleSchema, row_id: str, n_chunks: int, params: Params = Params()
+) -> DataFrame:
     """Training rows per class in every chunk."""
     rows = df.select(
-        chunk_of(df, row_id, n_chunks).alias(CHUNK), class_index(F.col(schema.label), schema.classes).alias(CLASS)
+        chunk_of(df, row_id, n_chunks, params).alias(CHUNK),
+        class_index(F.col(schema.label), schema.classes).alias(CLASS),
     )
     return rows.groupBy(CHUNK, CLASS).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -20,16 +20,29 @@ def x_col(i: int) -> str:
     return f"__x{i}"
 
 
-def chunk_of(df: DataFrame, row_id: str | None, n_chunks: int) -> Column:
-    """Chunk number of a row, from its id only, so file layout does not matter."""
+def assigned(df: DataFrame, row_id: str, n: int, params: Params, purpose: str) -> Column:
+    """A number below ``n`` from a row's id only, so file layout does not matter.
+
+    ``assign='id'`` takes the id modulo ``n``, which keeps rows of neighbouring ids apart
+    but makes two such numbers of one row depend on each other. ``'digest'`` draws from a
+    digest of seed, purpose and id: chunks and folds are then independent.
+    """
+    key = F.col(row_id)
+    if params.assign == "digest":
+        digest = F.md5(F.concat_ws("|", F.lit(str(params.seed)), F.lit(purpose), key.cast("string")))
+        key = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    elif not isinstance(df.schema[row_id].dataType, T.IntegralType):
+        key = F.xxhash64(key)
+    return F.pmod(key, F.lit(n)).cast("int")
+
+
+def chunk_of(df: DataFrame, row_id: str | None, n_chunks: int, params: Params = Params()) -> Column:
+    """Chunk number of a row."""
     if n_chunks == 1:
         return F.lit(0)
     if row_id is None:
         raise ValueError("n_chunks > 1 needs a row_id column")
-    key = F.col(row_id)
-    if not isinstance(df.schema[row_id].dataType, T.IntegralType):
-        key = F.xxhash64(key)
-    return F.pmod(key, F.lit(n_chunks)).cast("int")
+    return assigned(df, row_id, n_chunks, params, "chunk")
 
 
 def quoted(name: str) -> str:
@@ -164,7 +177,7 @@ def fuzzify(
     all labels. Scoring and learning do not need this wide form; it is the view
     a user looks at.
     """
-    chunks = chunk_of(df, row_id, n_chunks or params.n_chunks)
+    chunks = chunk_of(df, row_id, n_chunks or params.n_chunks, params)
     base = encode(df, schema, [F.col(row_id).alias("row_id"), chunks.alias(CHUNK)], params.bad_rows)
     labels = own_labels(schema)
     mu = []

@@ -213,6 +213,44 @@ def score_encoded(
     )
 
 
+def score_models(
+    df: DataFrame, schema: RuleSchema, rules: DataFrame, params: Params, row_id: str, group: str, n_models: int, models
+) -> DataFrame:
+    """Every row by each model that ``models``, an array column over ``df``, names:
+    ``(row_id, group, actual, predicted, degree)``.
+
+    ``rules`` holds models numbered from 0 in the column ``group``. A cell's entries of all
+    models are one row of the cell table: a row is encoded, placed and looked up once, also
+    where the table is shuffled, and is repeated per model behind the join only. A model
+    without rules in a cell gives the default class. For few numeric features.
+    """
+    grid, default, n_classes = Grid(schema), default_index(schema, params), len(schema.classes)
+    cols = [F.col(row_id).alias("row_id"), models.alias("__models")]
+    rows = encode(df, schema, cols, params.bad_rows, learning=False).withColumnRenamed(CLASS, "actual")
+    rows = place_rows(rows, grid, ["row_id", "__models", "actual"])
+    table = cell_rules(rules, schema, [group])
+    n_corners = 1 << len(grid.numeric)
+    terms = n_corners * (1 if params.inference == "winning_rule" else n_classes)
+    dense = len(grid.numeric) <= CORE and terms <= UNROLL_TERMS
+    if dense:
+        table = _dense(table, grid, n_classes, [group])
+    entry = [c for c in table.columns if c not in (group, "cell")]
+    packed = table.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct(group, F.struct(*entry)))).alias("e"))
+    by_cell = packed.selectExpr("cell", f"transform(sequence(0, {n_models - 1}), k -> try_element_at(e, k)) AS __entries")
+    hit = look_up(rows, by_cell, table_fits(rules, grid, params, n_models), params, [])
+    degrees = [c for c in rows.columns if c not in ("row_id", "__models", "actual", "cell")]
+    each = hit.selectExpr("row_id", "actual", *degrees, "__entries", f"explode(__models) AS {group}")
+    each = each.withColumn("__e", F.get("__entries", F.col(group).cast("int")))
+    out = ["row_id", group, "actual"]
+    if not dense:
+        each = each.selectExpr(*out, *degrees, "__e.fired AS fired")
+        return choose_listed(each, out, grid, n_classes, params.inference, default)
+    products = [f"{p} * coalesce(__e.w{b}, 0D) AS __a{b}" for b, p in enumerate(corner_products(grid.numeric))]
+    return choose(
+        each.selectExpr(*out, *products, "__e.m AS m"), out, n_corners, n_classes, params.inference, default
+    )
+
+
 def fired_rules(
     encoded: DataFrame, schema: RuleSchema, rules: DataFrame, params: Params, row_id: str, keep=(), group=()
 ) -> DataFrame:

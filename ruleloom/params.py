@@ -39,7 +39,8 @@ class Params:
     ``broadcast_bytes`` bounds every broadcast table; beyond it joins are
     shuffled with rows spread over ``salt_buckets``. ``row_partitions`` spreads
     the rows of tables with many numeric features (round robin) before they meet
-    the rules, for inputs with fewer splits than cores.
+    the rules, for inputs with fewer splits than cores. ``assign`` says how row
+    ids give chunks and folds, see :func:`ruleloom.operators.encode.assigned`.
     """
 
     n_labels: int = 3
@@ -58,6 +59,7 @@ class Params:
     broadcast_bytes: int = 64 * 1024 * 1024
     salt_buckets: int = 16
     row_partitions: int | None = None
+    assign: str = "id"
 
     def __post_init__(self):
         weight = RULE_WEIGHT_NAMES.get(str(self.rule_weight).lower())
@@ -71,6 +73,7 @@ class Params:
         _choice("weight_features", self.weight_features, {"all", "all_but_last"})
         _choice("default_class", self.default_class, {"first", "most_frequent"})
         _choice("bad_rows", self.bad_rows, {"error", "drop"})
+        _choice("assign", self.assign, {"id", "digest"})
         if self.n_labels < 2:
             raise ValueError("n_labels must be at least 2")
         if self.n_chunks < 1:

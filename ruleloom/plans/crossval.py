@@ -2,13 +2,15 @@
 
 Degree sums are additive, so the sums of every fold are taken once and a fold's
 training set is the sum over the other folds. All fold models come out of one
-scan, and every row is scored by the models of its group in one more.
+scan. A cell's entries of all fold models stand in one row of the cell table, so
+a row meets its cell once and is scored by as many models as are asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of, encode, own_labels, rule_key
 from ruleloom.operators.evaluate import binary_auc, confusion_matrix, mean_auc
 from ruleloom.operators.grid import Grid
-from ruleloom.operators.score import score
+from ruleloom.operators.score import score, score_models
 from ruleloom.operators.support import cell_sums, corner_support, with_costs
 from ruleloom.operators.weights import best_class, class_weights, first_class, merge_rules
 from ruleloom.params import Params
@@ -73,7 +75,7 @@ def fold_rules(df: DataFrame, schema: RuleSchema, params: Params, row_id: str, o
             for i in range(k)
         ]
         return reduce(DataFrame.unionByName, parts).select(FOLD, "rule_key", CLASS, "weight")
-    cols = [F.col(FOLD), chunk_of(df, row_id, params.n_chunks).alias(CHUNK)]
+    cols = [F.col(FOLD), chunk_of(df, row_id, params.n_chunks, params).alias(CHUNK)]
     if params.rule_weight == "none":
         rows = encode(df, schema, [*cols, F.col(row_id).alias("row_id")], params.bad_rows)
         seen = rows.select(*group, CLASS, rule_key(own_labels(schema)).alias("rule_key"), "row_id")
@@ -94,20 +96,30 @@ def cross_validate(
 ) -> CrossValidation:
     """Learn without each fold, score each fold (test) and the rest (train).
 
-    ``fold`` is a column numbering folds from 0; by default the row id modulo
-    ``n_folds``. Ranges and class sizes are those of the whole schema.
+    ``fold`` is a column numbering folds from 0; by default the row id gives it.
+    Ranges and class sizes are those of the whole schema. Chunk and fold by the
+    id modulo numbers with a common divisor would leave a model without some of
+    its chunks, so that is refused.
     """
-    if params.n_folds < 2:
+    k = params.n_folds
+    if k < 2:
         raise ValueError("n_folds must be at least 2")
-    rows = df.withColumn(FOLD, fold if fold is not None else fold_of(df, row_id, params.n_folds))
+    if fold is None and params.assign == "id" and gcd(params.n_chunks, k) > 1:
+        raise ValueError("n_chunks and n_folds have a common divisor: use assign='digest' or a fold column")
+    rows = df.withColumn(FOLD, fold if fold is not None else fold_of(df, row_id, k, params))
     rules = fold_rules(rows, schema, params, row_id)
+    if Grid(schema).is_small:
+        others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: m != F.col(FOLD))
+        test, train = (
+            score_models(rows, schema, rules, params, row_id, FOLD, k, models)
+            for models in (F.array(FOLD), others)
+        )
+        return CrossValidation(schema, rules, test, train)
 
     def run(table):
-        return score(
-            table, schema, rules, params, row_id, keep=[FOLD], group=[FOLD], n_groups=params.n_folds
-        )
+        return score(table, schema, rules, params, row_id, keep=[FOLD], group=[FOLD], n_groups=k)
 
-    return CrossValidation(schema, rules, run(rows), run(other_folds(rows, params.n_folds)))
+    return CrossValidation(schema, rules, run(rows), run(other_folds(rows, k)))
 
 
 def validate_files(pairs, schema: RuleSchema, params: Params) -> DataFrame:

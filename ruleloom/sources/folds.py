@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ruleloom.operators.encode import assigned
+from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
 from ruleloom.sources.examples import read_examples, split_examples
 
@@ -14,12 +15,9 @@ TRAIN_FILE = "{name}-5-{fold}tra.dat"
 TEST_FILE = "{name}-5-{fold}{suffix}"
 
 
-def fold_of(df: DataFrame, row_id: str, n_folds: int) -> Column:
-    """Fold of a row, from its id only."""
-    key = F.col(row_id)
-    if not isinstance(df.schema[row_id].dataType, T.IntegralType):
-        key = F.xxhash64(key)
-    return F.pmod(key, F.lit(n_folds)).cast("int")
+def fold_of(df: DataFrame, row_id: str, n_folds: int, params: Params = Params()) -> Column:
+    """Fold of a row."""
+    return assigned(df, row_id, n_folds, params, "fold")
 
 
 def fold_files(spark: SparkSession, name: str, suffix: str, fold: int, schema: RuleSchema):

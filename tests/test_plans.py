@@ -14,6 +14,7 @@ from ruleloom.operators.evaluate import confusion_matrix
 from ruleloom.operators.support import cell_sums
 from ruleloom.operators.score import score
 from ruleloom.params import Params
+from ruleloom.plans.crossval import cross_validate
 from ruleloom.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +77,11 @@ def test_row_code_is_short_enough_for_the_jit(spark, ds):
             assert sizes and max(sizes) < JIT_LIMIT
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rows_of_all_fold_models_meet_their_cell_once(spark):
+    """The training side of cross-validation repeats rows behind the lookup only."""
+    df, schema = setup(spark, SF, D.EVENTS)
+    cv = cross_validate(df, schema, Params(rule_weight="cf", n_folds=5), D.EVENTS.row_id)
+    tree = plan(cv.train, "simple").split("BroadcastExchange")[0]
+    assert tree.count("BroadcastHashJoin") == 1 and tree.index("Generate") < tree.index("BroadcastHashJoin")
