@@ -61,6 +61,15 @@ def orders(spark, sf_dir):
     )
 
 
+def customers(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        "o_totalprice",
+        F.col("o_custkey").cast("string").alias("customer"),
+        F.col("o_orderstatus").alias("y"),
+    )
+
+
 def lineitem(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(
         "l_quantity",
@@ -139,6 +148,15 @@ ORDERS = Dataset(
     """SELECT o_orderkey AS row_id, o_totalprice AS x0, o_orderpriority AS x1,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS cls FROM orders""",
 )
+CUSTOMERS = Dataset(
+    "customers",
+    ("o_totalprice", "customer"),
+    ("numeric", "nominal"),
+    ("F", "O", "P"),
+    customers,
+    """SELECT o_orderkey AS row_id, o_totalprice AS x0, CAST(o_custkey AS VARCHAR) AS x1,
+       CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS cls FROM orders""",
+)
 ORDER_LINES = Dataset(
     "order_lines",
     ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "l_linenumber"),

@@ -498,6 +498,8 @@ EXPECTED = {
     "predict_default_first": unseen_sql("first"),
     "predict_default_mode": unseen_sql("most_frequent"),
     "predict_default_mode_additive": unseen_sql("most_frequent", "additive"),
+    "customer_rules": rules_of(D.CUSTOMERS),
+    "predict_customers": predictions_of(D.CUSTOMERS),
     "predict_embeddings_8": predictions_of(D.EMBEDDINGS_8),
     "predict_embeddings_8_additive": predictions_of(D.EMBEDDINGS_8, "additive"),
     "predict_embeddings_64": wide_sql(),

@@ -11,6 +11,7 @@ from ruleloom.catalog import datasets as D
 from ruleloom.functions import rendering as R
 from ruleloom.functions.membership import class_index, pick
 from ruleloom.operators import counters, selection
+from ruleloom.operators.dictionary import coded, dictionary
 from ruleloom.operators.encode import CHUNK, CLASS, chunk_of, encode, fuzzify, own_labels, rule_key
 from ruleloom.operators.evaluate import accuracy, binary_auc, confusion_matrix, confusion_pivot, mean_auc
 from ruleloom.operators.faults import line_drop_counts
@@ -199,6 +200,25 @@ def q_predict(ds, **kw):
     return run
 
 
+def coded_customers(spark, sf_dir):
+    """Orders with every customer as a value of its own, learned by codes."""
+    ds = D.CUSTOMERS
+    df = ds.table(spark, sf_dir)
+    values = dictionary(df, "customer")
+    table = coded(df, [values])
+    schema = profile(table, ds.features, ds.label, 3, ds.classes, dictionaries=[values])
+    return table, learn(table, schema, Params(rule_weight="cf"), ds.row_id)
+
+
+def q_customer_rules(spark, sf_dir):
+    return rule_rows(coded_customers(spark, sf_dir)[1].rules)
+
+
+def q_predict_customers(spark, sf_dir):
+    table, model = coded_customers(spark, sf_dir)
+    return model.predict(table, "row_id").select("row_id", "actual", "predicted", r6("degree"))
+
+
 def q_predict_wide(**kw):
     """Degrees are products of 64 factors, so their logarithms are compared."""
 
@@ -633,6 +653,8 @@ QUERIES = {
     "predict_default_first": q_predict_unseen("first"),
     "predict_default_mode": q_predict_unseen("most_frequent"),
     "predict_default_mode_additive": q_predict_unseen("most_frequent", "additive"),
+    "customer_rules": q_customer_rules,
+    "predict_customers": q_predict_customers,
     "predict_embeddings_8": q_predict(D.EMBEDDINGS_8),
     "predict_embeddings_8_additive": q_predict(D.EMBEDDINGS_8, inference="additive"),
     "predict_embeddings_64": q_predict_wide(),

@@ -53,11 +53,17 @@ def membership_vector(x: Column, var: Variable, n_labels: int) -> Column:
     """Degrees of ``x`` in every label of ``var`` (0/1 for nominal values)."""
     if var.is_numeric:
         return F.array(*[numeric_membership(x, var, n_labels, k) for k in range(n_labels)])
-    return F.array(*[F.when(nominal_label(x, var) == k, 1.0).otherwise(0.0) for k in range(len(var.values))])
+    own = nominal_label(x, var)
+    if var.size:
+        return F.transform(F.sequence(F.lit(0), F.lit(var.size - 1)), lambda k: F.when(own == k, 1.0).otherwise(0.0))
+    return F.array(*[F.when(own == k, 1.0).otherwise(0.0) for k in range(len(var.values))])
 
 
 def nominal_label(x: Column, var: Variable) -> Column:
     """Position in the value list, -1 when absent or null."""
+    if var.size:
+        code = x.try_cast("int")
+        return F.when(code.between(0, var.size - 1), code).otherwise(-1)
     if var.compare_as_number:
         values = F.array(*[F.lit(float(v)) for v in var.values])
         x = x.try_cast("double")

@@ -32,7 +32,10 @@ def term_texts(schema: RuleSchema, antecedents: Column) -> list[Column]:
     out = []
     for i, v in enumerate(schema.variables):
         at = F.get(antecedents, F.lit(i))
-        value = F.concat(F.lit(LABEL_PREFIX), at.cast("string")) if v.is_numeric else pick(v.values, at)
+        if v.is_numeric:
+            value = F.concat(F.lit(LABEL_PREFIX), at.cast("string"))
+        else:
+            value = at.cast("string") if v.size else pick(v.values, at)
         out.append(F.concat(F.lit(v.name + TERM), value))
     return out
 
@@ -91,7 +94,7 @@ def variable_lines(schema: RuleSchema, sets: DataFrame) -> DataFrame:
         )
     )
     nominal = [
-        (i, f"{v.name} (nominal variable):\nNominal values: {', '.join(v.values)}\n")
+        (i, f"{v.name} (nominal variable):\nNominal values: {', '.join(v.values) or f'codes 0 to {v.n_values - 1}'}\n")
         for i, v in enumerate(schema.variables)
         if not v.is_numeric
     ]

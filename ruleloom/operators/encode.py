@@ -187,7 +187,7 @@ def fuzzify(
         else:
             mu.append(
                 F.transform(
-                    F.sequence(F.lit(0), F.lit(len(v.values) - 1)),
+                    F.sequence(F.lit(0), F.lit(v.n_values - 1)),
                     lambda k, c=F.col(x_col(i)): F.when(k == c, 1.0).otherwise(0.0),
                 )
             )

@@ -76,7 +76,7 @@ class Grid:
     def n_cells(self, i: int) -> int:
         v = self.schema.variables[i]
         if not v.is_numeric:
-            return len(v.values)
+            return v.n_values
         return 1 if v.is_constant else self.schema.n_labels - 1
 
     def low_label(self, i: int, cell: str) -> str:

@@ -80,6 +80,7 @@ def profile(
     classes=None,
     max_values: int = 10_000,
     max_classes: int = 1_000,
+    dictionaries=(),
 ) -> RuleSchema:
     """Read a schema off a table.
 
@@ -88,12 +89,14 @@ def profile(
     ``classes`` fixes the class order (the first one is the positive class);
     by default the labels are sorted. Value lists and class lists end up on the
     driver, so both are counted over the whole table before they are fetched and
-    refused when they are longer than the limits.
+    refused when they are longer than the limits. Columns of ``dictionaries`` hold
+    codes already; only their sizes are taken.
     """
     features = list(features)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    numeric = [c for c in features if _is_number(dtypes[c])]
-    nominal = [c for c in features if c not in numeric]
+    sizes = {d.column: d.size for d in dictionaries}
+    numeric = [c for c in features if _is_number(dtypes[c]) and c not in sizes]
+    nominal = [c for c in features if c not in numeric and c not in sizes]
 
     labels = df.select(F.col(label).cast("string")).filter(F.col(label).isNotNull()).distinct()
     if labels.limit(max_classes + 1).count() > max_classes:
@@ -103,7 +106,7 @@ def profile(
         distinct = nominal_values(df, nominal)
         for r in distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect():
             if r["n"] > max_values:
-                raise ValueError(f"nominal column {r['name']!r} has {r['n']} values, more than {max_values}")
+                raise ValueError(f"nominal column {r['name']!r} has {r['n']} values, more than {max_values}: give it a dictionary")
         for r in distinct.collect():
             values[r["name"]].append(r["value"])
 
@@ -120,6 +123,9 @@ def profile(
 
     variables = []
     for name in features:
+        if name in sizes:
+            variables.append(Variable(name, NOMINAL, size=sizes[name]))
+            continue
         if name in values:
             variables.append(Variable(name, NOMINAL, values=tuple(sorted(values[name]))))
             continue

@@ -20,7 +20,10 @@ NOMINAL = "nominal"
 
 @dataclass(frozen=True)
 class Variable:
-    """One feature: a numeric range or an ordered list of values."""
+    """One feature: a numeric range, an ordered list of values, or a number of coded values.
+
+    With ``size`` the column holds codes from 0, see :mod:`ruleloom.operators.dictionary`.
+    """
 
     name: str
     kind: str
@@ -28,19 +31,24 @@ class Variable:
     upper: float | None = None
     values: tuple[str, ...] = ()
     compare_as_number: bool = False
+    size: int | None = None
 
     def __post_init__(self):
         if self.kind not in (NUMERIC, NOMINAL):
             raise ValueError(f"unknown variable kind {self.kind!r}")
         if self.kind == NUMERIC and (self.lower is None or self.upper is None or self.lower > self.upper):
             raise ValueError(f"variable {self.name!r} needs a range with lower <= upper")
-        if self.kind == NOMINAL and not self.values:
+        if self.kind == NOMINAL and not self.n_values:
             raise ValueError(f"variable {self.name!r} needs at least one value")
 
     @property
     def is_numeric(self) -> bool:
         return self.kind == NUMERIC
 
+    @property
+    def n_values(self) -> int:
+        return self.size or len(self.values)
+
     @property
     def is_constant(self) -> bool:
         return self.is_numeric and self.lower == self.upper
@@ -99,7 +107,7 @@ class RuleSchema:
 
     def label_count(self, position: int) -> int:
         v = self.variables[position]
-        return self.n_labels if v.is_numeric else len(v.values)
+        return self.n_labels if v.is_numeric else v.n_values
 
     def class_costs(self, cost_sensitive: bool) -> tuple[float, ...]:
         """Smallest class over own class, so the rarest class costs 1."""
@@ -127,6 +135,7 @@ VARIABLES_TYPE = T.StructType(
         T.StructField("upper", T.DoubleType()),
         T.StructField("vals", T.ArrayType(T.StringType())),
         T.StructField("as_number", T.BooleanType()),
+        T.StructField("size", T.IntegerType()),
     ]
 )
 CLASSES_TYPE = T.StructType(
@@ -142,7 +151,7 @@ CLASSES_TYPE = T.StructType(
 
 def variables_table(spark: SparkSession, schema: RuleSchema) -> DataFrame:
     rows = [
-        (i, v.name, v.kind, v.lower, v.upper, list(v.values), v.compare_as_number)
+        (i, v.name, v.kind, v.lower, v.upper, list(v.values), v.compare_as_number, v.size)
         for i, v in enumerate(schema.variables)
     ]
     return spark.createDataFrame(rows, VARIABLES_TYPE)
@@ -177,6 +186,7 @@ def schema_from_tables(
                 r["upper"],
                 tuple(r["vals"] or ()),
                 bool(r["as_number"]),
+                r["size"] if "size" in r else None,
             )
             for r in vs
         ),
