@@ -1,11 +1,11 @@
 """Exact dedup with radix-trie owners.
 
 Texts are equal when their bytes are identical after lower-casing A-Z. Each task first folds the copies it sees, so a
-text that a third of all rows share arrives once per task. Length and content hash deal the texts out; the texts of one
-key go, sorted, into a compressed radix trie of full byte strings, whose terminal nodes hold the owner. A hash clash
-therefore joins nothing: the bytes decide.
+text that a third of all rows share arrives once per task. Length and content hash deal the texts out to partitions; the
+texts of a partition go, in byte order, into one compressed radix trie of full byte strings, whose terminal nodes hold the
+owner. Shared beginnings are stored once, and the bytes alone decide what is equal: hashes only say where a text goes.
 
-Because keys come sorted, all but the path of the latest key is final, and such subtrees are handed on and freed
+Because texts come in order, all but the path of the latest one is final, and such subtrees are handed on and freed
 whenever the trie outgrows its bound. Memory is one bounded trie and two texts, whatever the number of copies.
 
 Null text counts as empty. Of equal texts the largest doc_id owns (a null id is smallest). Rows repeated with id and
@@ -139,24 +139,28 @@ def _fold(batches):
 
 
 def _own(batches):
-    """Owners of the texts of each (length, content hash) key, from rows sorted by key and text."""
+    """Owners of the texts of a partition, from (text, doc_id, copies) in byte order of the texts."""
 
-    trie, key, done = RadixTrie(), None, []
-    for batch in batches:
-        lengths, hashes, texts, ids, copies = (batch.column(i) for i in range(5))
-        for here, text, doc_id, n in zip(zip(lengths.to_pylist(), hashes.to_pylist()), texts, ids.to_pylist(), copies.to_pylist()):
-            if here != key:
-                done += [(hashlib.sha256(k).hexdigest(), i, c) for k, i, c in trie.take()]
-                key = here
-            elif trie.bytes > TRIE_BYTES:
-                done += [(hashlib.sha256(k).hexdigest(), i, c) for k, i, c in trie.take(False)]
-            trie.insert(text.as_py(), doc_id, n)
+    trie = RadixTrie()
+
+    def taken(all_of_it):
+        done = []
+        for text, owner, n in trie.take(all_of_it):
+            done.append((hashlib.sha256(text).hexdigest(), owner, n))
             if len(done) >= 10_000:
                 yield _owner_rows(done)
                 done = []
-    done += [(hashlib.sha256(k).hexdigest(), i, c) for k, i, c in trie.take()]
-    if done:
-        yield _owner_rows(done)
+        if done:
+            yield _owner_rows(done)
+
+    for batch in batches:
+        texts, ids, copies = (batch.column(i) for i in range(3))
+        for text, doc_id, n in zip(texts, ids.to_pylist(), copies.to_pylist()):
+            text = text.as_py()
+            if trie.bytes > TRIE_BYTES and text != trie.last:
+                yield from taken(False)
+            trie.insert(text, doc_id, n)
+    yield from taken(True)
 
 
 def _owner_rows(found):
@@ -169,8 +173,8 @@ def _owner_rows(found):
 def owners(docs: DataFrame) -> DataFrame:
     """text_sha256, keep_id, group_size of every distinct normalised text."""
     folded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fold, FOLDED)
-    placed = folded.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash", "text")
-    return placed.mapInArrow(_own, OWNERS)
+    placed = folded.repartition("n_bytes", "content_hash").select("text", "doc_id", "copies")
+    return placed.sortWithinPartitions("text").mapInArrow(_own, OWNERS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

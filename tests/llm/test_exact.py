@@ -61,10 +61,46 @@ def test_trie_holds_byte_strings(seed):
     assert got == want and trie.bytes == 0
 
 
-def test_clashing_keys_are_told_apart():
+def batch(rows):
     import pyarrow as pa
 
-    rows = [(b"aaaa", 1, 1), (b"aaab", 2, 1), (b"aaab", 7, 2), (b"zzzz", 3, 1)]
-    columns = [pa.array([4] * 4), pa.array([9] * 4), pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows])]
-    (found,) = exact._own([pa.record_batch(columns, names=["a", "b", "c", "d", "e"])])
+    kinds = (pa.binary(), pa.int64(), pa.int64())
+    return pa.record_batch([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["text", "doc_id", "copies"])
+
+
+def test_bytes_decide():
+    (found,) = exact._own([batch([(b"aaaa", 1, 1), (b"aaab", 2, 1), (b"aaab", 7, 2), (b"zzzz", 3, 1)])])
     assert sorted(zip(found.column(1).to_pylist(), found.column(2).to_pylist())) == [(1, 1), (3, 1), (7, 3)]
+
+
+@pytest.mark.parametrize("bound", [0, 5_000, 1 << 20])
+def test_one_trie_holds_many_texts_of_a_partition(monkeypatch, bound):
+    """Shared beginnings are stored once; finished subtrees leave when the trie outgrows its bound."""
+    monkeypatch.setattr(exact, "TRIE_BYTES", bound)
+    most, kept = [0], exact.RadixTrie.insert
+
+    def insert(self, key, doc_id, copies):
+        kept(self, key, doc_id, copies)
+        n, stack = 0, [self.root]
+        while stack:
+            node = stack.pop()
+            n, stack = n + bool(node[2]), stack + list(node[1].values())
+        most[0] = max(most[0], n)
+
+    monkeypatch.setattr(exact.RadixTrie, "insert", insert)
+    rows = sorted((b"shared beginning " * 20 + bytes([97 + i // 10]) * (i % 5) + str(i % 90).encode(), i, 1) for i in range(100))
+    out = [r for b in exact._own([batch(rows[:41]), batch(rows[41:])]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = {}
+    for text, i, n in rows:
+        sha = hashlib.sha256(text).hexdigest()
+        old = want.get(sha, (-1, 0))
+        want[sha] = (max(old[0], i), old[1] + n)
+    assert {sha: (i, n) for sha, i, n in out} == want and len(out) == len(want)
+    assert most[0] == len(want) if bound > 5_000 else 1 <= most[0] < len(want)
+
+
+def test_trie_stores_shared_beginnings_once():
+    trie = exact.RadixTrie()
+    for i in range(100):
+        trie.insert(b"x" * 10_000 + bytes([i]), i, 1)
+    assert trie.bytes < 60_000
