@@ -27,7 +27,7 @@ from ruleloom.operators.score import cell_rules, corner_degree, default_index, f
 from ruleloom.operators.weights import keep_rules
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
-from ruleloom.session import cut_lineage
+from ruleloom.session import cut_lineage, write_out
 
 # The bits per gene that set how fast the restart threshold falls,
 # and the number of restarts without progress that ends a search.
@@ -451,8 +451,8 @@ def select_rules(
     small = bounded <= ONE_WINDOW_RULES
     rules = cut_lineage(chunk_rules)
     evidence = gather_evidence(df, schema, rules, params, row_id, chunk)
-    pop = cut_lineage(init_population(rules, size, params.seed))
-    fit = cut_lineage(fitness(evidence, pop, schema, params).select(CHUNK, "chrom_id", "fitness"))
+    pop = write_out(init_population(rules, size, params.seed), "population")
+    fit = write_out(fitness(evidence, pop, schema, params).select(CHUNK, "chrom_id", "fitness"), "fitness")
     counts = {r[CHUNK]: r["n"] for r in rules.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()}
     top = {r[CHUNK]: r["f"] for r in fit.groupBy(CHUNK).agg(F.max("fitness").alias("f")).collect()}
     states = {
@@ -480,8 +480,8 @@ def select_rules(
             ranked = truncate(fit.unionByName(fresh_fit), size)
             numbers = ranked.select(CHUNK, "chrom_id", "rank")
             both = pop.unionByName(fresh).join(numbers, [CHUNK, "chrom_id"])
-            pop = cut_lineage(both.select(CHUNK, F.col("rank").alias("chrom_id"), "rule_key", "active"))
-            fit = cut_lineage(ranked.select(CHUNK, F.col("rank").alias("chrom_id"), "fitness"))
+            pop = write_out(both.select(CHUNK, F.col("rank").alias("chrom_id"), "rule_key", "active"), "population")
+            fit = write_out(ranked.select(CHUNK, F.col("rank").alias("chrom_id"), "fitness"), "fitness")
 
         stuck = []
         for k in running:
@@ -509,8 +509,8 @@ def select_rules(
                 new_fit = fitness(evidence, drawn.filter(F.col("chrom_id") > 0), schema, params)
                 new_fit = cut_lineage(new_fit.select(CHUNK, "chrom_id", "fitness"))
                 old_best = best_chromosome(fit.filter(redo)).select(CHUNK, F.lit(0).alias("chrom_id"), "fitness")
-                pop = cut_lineage(pop.filter(~redo).unionByName(drawn))
-                fit = cut_lineage(fit.filter(~redo).unionByName(old_best).unionByName(new_fit))
+                pop = write_out(pop.filter(~redo).unionByName(drawn), "population")
+                fit = write_out(fit.filter(~redo).unionByName(old_best).unionByName(new_fit), "fitness")
                 for r in new_fit.groupBy(CHUNK).agg(F.max("fitness").alias("f")).collect():
                     s = states[r[CHUNK]]
                     s.budget -= size - 1

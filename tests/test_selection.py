@@ -1,5 +1,9 @@
 """Rule selection: operators against plain sets, and the search as a whole."""
 
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +139,18 @@ def test_selection_on_wide_tables(spark):
     full = learn(df, schema, Params(rule_weight="cf"), "id")
     kept = {r.rule_key for r in model.rules.collect()}
     assert kept < {r.rule_key for r in full.rules.collect()}
+
+
+def test_long_search_keeps_expected_sizes_small(spark):
+    """Sizes that Spark expects of the population do not multiply from generation to generation."""
+    schema, df, _ = make(spark, 3, 1, n_rows=80, seed=4)
+    params = Params(rule_weight="cf", pop_size=4, n_evaluations=14, seed=3)
+    rules = cut_lineage(learn_chunks(df, schema, params, "id"))
+    found = S.select_rules(df, schema, rules, params, "id")
+    assert max(h["generation"] for h in found.history) >= 4
+    for table in (found.population, found.fitness):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            table.explain("cost")
+        sizes = re.findall(r"sizeInBytes=([^,)]*) ", out.getvalue())
+        assert sizes and all("E+" not in s for s in sizes)
