@@ -48,6 +48,15 @@ class Blocks:
     carry: tuple[str, ...] = ()
 
 
+@dataclass
+class Counted:
+    """Written rules, their number and the features whose cells part them (none: :mod:`ruleloom.operators.dense`)."""
+
+    rules: DataFrame
+    n_rules: int
+    block_on: list[int]
+
+
 def block_positions(schema: RuleSchema, positions, labels: dict[int, dict[int, int]]) -> list[int]:
     """All nominal features (a row has one value) and the most selective numeric ones.
 
@@ -80,23 +89,24 @@ def reach(df: DataFrame, grid: Grid, i: int) -> DataFrame:
     return df.filter(f"__c{i} BETWEEN 0 AND {grid.n_cells(i) - 1}")
 
 
-def rule_blocks(
-    rules: DataFrame, schema: RuleSchema, params: Params, group, positions, carry
-) -> Blocks:
-    """Lay ``rules`` (with a ``rule_key``) out by block of ``positions``.
-
-    Counting the rules decides between broadcast and shuffle, and counting their
-    labels which features make the blocks.
-    """
-    grid = Grid(schema)
+def count_rules(rules: DataFrame, schema: RuleSchema, positions) -> Counted:
+    """Write ``rules`` (with a ``rule_key``) once and count them and their labels."""
     rules = cut_lineage(rules)
-    n_rules = rules.count()
     labels: dict[int, dict[int, int]] = {}
     wanted = [i for i in positions if schema.variables[i].is_numeric]
     spread = rules.select(F.posexplode(antecedents_of(F.col("rule_key"))).alias("i", "k")).filter(F.col("i").isin(wanted))
     for r in spread.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).collect():
         labels.setdefault(r["i"], {})[r["k"]] = r["n"]
-    block_on = block_positions(schema, positions, labels)
+    return Counted(rules, rules.count(), block_positions(schema, positions, labels))
+
+
+def rule_blocks(counted: Counted, schema: RuleSchema, params: Params, group, positions, carry) -> Blocks:
+    """Lay counted rules out by block of ``positions``.
+
+    Their number decides between broadcast and shuffle.
+    """
+    grid = Grid(schema)
+    rules, n_rules, block_on = counted.rules, counted.n_rules, counted.block_on
     df = rules.select(*group, *dict.fromkeys([*carry, "rule_key"]), antecedents_of(F.col("rule_key")).alias("ants"))
     cells = []
     for i in block_on:

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.membership import association
+from ruleloom.operators.dense import row_votes
 from ruleloom.operators.encode import CLASS, antecedents_of, encode
 from ruleloom.operators.grid import CORE, Grid, corner_products, hi_col, k_col, lo_col, pack, place
-from ruleloom.operators.match import pair_degrees, reach, row_pairs, rule_blocks
+from ruleloom.operators.match import count_rules, pair_degrees, reach, row_pairs, rule_blocks
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
 
@@ -274,7 +275,8 @@ def fired_rules(
     else:
         positions = list(range(len(schema.variables)))
         named = rules.select(*group, "rule_key", F.col(CLASS).alias("rule_class"), F.col("weight").alias("w"))
-        blocks = rule_blocks(named, schema, params, group, positions, ["rule_key", "rule_class", "w"])
+        counted = count_rules(named, schema, positions)
+        blocks = rule_blocks(counted, schema, params, group, positions, ["rule_key", "rule_class", "w"])
         others = [c for c in carried if c not in group]
         rows = row_pairs(encoded, schema, group, positions, others, F.xxhash64(row_id), blocks)
         pairs = pair_degrees(rows, blocks, group, [*others, "rule_key", "rule_class", "w"])
@@ -292,15 +294,22 @@ def score_pairs(
     double columns that a hash aggregate combines on the map side. Rows are told
     apart by a number of their own, set where they are read, so rows with equal
     ids stay rows. Rows no rule reaches stay in through the outer join and get
-    the default class.
+    the default class. Where no feature parts the rules, rows meet all of them in
+    tiles.
     """
     encoded = encoded.withColumn(ROW, F.monotonically_increasing_id())
     group = list(group)
     default, n_classes = default_index(schema, params), len(schema.classes)
     positions = list(range(len(schema.variables)))
     named = rules.select(*group, "rule_key", F.col(CLASS).alias("rule_class"), F.col("weight").alias("w"))
-    blocks = rule_blocks(named, schema, params, group, positions, ["rule_class", "w"])
+    counted = count_rules(named, schema, positions)
     others = [c for c in dict.fromkeys([ROW, *keep]) if c not in group]
+    if not counted.block_on:
+        found = row_votes(encoded, counted, schema, params.inference, group, others, ROW)
+        if params.inference == "additive":
+            return vote(found, keep, n_classes, default)
+        return found.selectExpr(*keep, f"IF(degree > 0D, winner, {default}) AS predicted", "degree")
+    blocks = rule_blocks(counted, schema, params, group, positions, ["rule_class", "w"])
     rows = row_pairs(encoded, schema, group, positions, others, F.xxhash64(ROW), blocks)
     pairs = pair_degrees(rows, blocks, group, [*others, "rule_class", "w"], every_row=True)
     take = "max" if params.inference == "winning_rule" else "sum"

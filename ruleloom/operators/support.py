@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.operators.dense import degree_sums
 from ruleloom.operators.encode import CHUNK, CLASS, encode, own_labels, rule_key, x_col
 from ruleloom.operators.grid import (
     Grid,
@@ -24,7 +25,7 @@ from ruleloom.operators.grid import (
     place,
     unpack,
 )
-from ruleloom.operators.match import pair_degrees, row_pairs, rule_blocks
+from ruleloom.operators.match import count_rules, pair_degrees, row_pairs, rule_blocks
 from ruleloom.params import Params
 from ruleloom.schema import RuleSchema
 from ruleloom.session import cut_lineage
@@ -142,19 +143,24 @@ def blocked_support(encoded: DataFrame, schema: RuleSchema, params: Params, grou
     Candidates come first (the labels of the rows); rows then meet only the
     candidates of their own block, an equi-join on the cells of a few features,
     and the remaining degrees are multiplied per pair. Sums are taken on the
-    map side before the shuffle.
+    map side before the shuffle. Where no feature parts the candidates, rows meet
+    all of them in tiles.
     """
     group = list(group)
     seen = encoded.select(*group, CLASS, rule_key(own_labels(schema)).alias("rule_key")).distinct()
     seen = cut_lineage(seen)
-    rules = seen.select(*group, "rule_key").distinct()
+    rules = seen.groupBy(*group, "rule_key").agg(F.collect_list(CLASS).alias("classes"))
     positions = list(range(len(schema.variables)))
     if params.weight_features == "all_but_last":
         positions = positions[:-1]
-    blocks = rule_blocks(rules, schema, params, group, positions, carry=["rule_key"])
-    rows = row_pairs(encoded, schema, group, positions, keep=[CLASS], salt_by=None, blocks=blocks)
-    hits = pair_degrees(rows, blocks, group, [CLASS, "rule_key"])
-    sums = hits.groupBy(*group, "rule_key", CLASS).agg(F.sum("degree").alias("degree_sum"))
+    counted = count_rules(rules.withColumn("__no", F.monotonically_increasing_id()), schema, positions)
+    if counted.block_on:
+        blocks = rule_blocks(counted, schema, params, group, positions, carry=["rule_key"])
+        rows = row_pairs(encoded, schema, group, positions, keep=[CLASS], salt_by=None, blocks=blocks)
+        hits = pair_degrees(rows, blocks, group, [CLASS, "rule_key"])
+        sums = hits.groupBy(*group, "rule_key", CLASS).agg(F.sum("degree").alias("degree_sum"))
+    else:
+        sums = degree_sums(encoded, counted, schema, group, positions)
     return seen.join(sums, [*group, "rule_key", CLASS], "left").select(
         *group, "rule_key", CLASS, F.coalesce("degree_sum", F.lit(0.0)).alias("degree_sum")
     )

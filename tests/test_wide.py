@@ -1,11 +1,14 @@
 """Many numeric features, limits of profiling, unreadable numbers, dense matrices."""
 
+import contextlib
+import io
 import math
 import random
 
 import pytest
 
 from ruleloom import Params, classify, learn, profile
+from ruleloom.operators import dense, match
 from ruleloom.operators.evaluate import confusion_matrix
 from ruleloom.schema import RuleSchema, Variable
 
@@ -118,3 +121,51 @@ def test_rows_are_read_once_for_each_step(spark):
     for table in (result.matrix, result.auc, result.accuracy, result.pivot, model.rules, model.chunk_rules):
         table.collect()
     assert seen.value == 180
+
+
+@pytest.mark.parametrize("features", ["all", "all_but_last"])
+def test_tiles_and_blocks_agree(spark, monkeypatch, features):
+    """Where middle labels prevail rows meet all rules in tiles; pairs by block give the same."""
+    r = random.Random(7)
+    names = [f"f{i}" for i in range(12)]
+    rows = [(k // 2, *(4.0 if i == 3 else r.gauss(0, 1) for i in range(12)), r.choice("pqn")) for k in range(150)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{x} double" for x in names) + ", y string")
+    schema = profile(df, names, "y", 3, ["p", "q", "n"])
+    out = {}
+    for share in (0.2, 2.0):
+        monkeypatch.setattr(match, "BLOCK_SHARE", share)
+        for inference in ("winning_rule", "additive"):
+            params = Params(rule_weight="cf", inference=inference, n_chunks=2, weight_features=features)
+            model = learn(df, schema, params, "id")
+            found = model.predict(df, "id")
+            text = io.StringIO()
+            with contextlib.redirect_stdout(text):
+                found.explain()
+            assert ("CoGroups" in text.getvalue()) == (share < 1)
+            rules = sorted((x.rule_key, x.class_idx, round(x.weight, 9)) for x in model.rules.collect())
+            said = sorted((x.row_id, x.actual, x.predicted, f"{x.degree:.9e}") for x in found.collect())
+            assert len(said) == len(rows)
+            out[share, inference] = rules, said
+    for inference in ("winning_rule", "additive"):
+        assert out[0.2, inference] == out[2.0, inference]
+
+
+def test_tiles_take_many_steps(spark, monkeypatch):
+    """Several chunks of rows and of rules give what one tile gives."""
+    r = random.Random(8)
+    names = [f"f{i}" for i in range(10)]
+    rows = [(k, *(r.gauss(0, 1) for _ in names), r.choice("pn")) for k in range(120)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{x} double" for x in names) + ", y string")
+    schema = profile(df, names, "y", 3, ["p", "n"])
+    monkeypatch.setattr(match, "BLOCK_SHARE", 0.2)
+    both = []
+    for rule_tile, row_tile, step in ((32_768, 16_384, 256), (24, 32, 7)):
+        monkeypatch.setattr(dense, "RULE_TILE", rule_tile)
+        monkeypatch.setattr(dense, "ROW_TILE", row_tile)
+        monkeypatch.setattr(dense, "ROWS", step)
+        monkeypatch.setattr(dense, "RULES", step)
+        for inference in ("winning_rule", "additive"):
+            found = learn(df, schema, Params(rule_weight="cf", inference=inference)).predict(df, "id").collect()
+            both.append(sorted((x.row_id, x.predicted, f"{x.degree:.9e}") for x in found))
+    assert both[:2] == both[2:]
