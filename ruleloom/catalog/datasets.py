@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.session import write_out
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -94,17 +96,21 @@ def embeddings(dims):
 
 
 def order_lines(spark, sf_dir):
+    """Lines with the total of their order, joined once: profile, learning and scoring read the written rows."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    lines = read(spark, sf_dir, "lineitem")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+    lines = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
         "l_quantity",
         "l_extendedprice",
         "l_discount",
         "l_tax",
-        "o_totalprice",
         "l_linenumber",
         F.when(F.col("l_returnflag") == "R", "R").otherwise("rest").alias("y"),
     )
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    return write_out(
+        joined.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "l_linenumber", "y"), "order-lines"
+    )
 
 
 def line_numbers(spark, sf_dir):

@@ -85,3 +85,10 @@ def test_rows_of_all_fold_models_meet_their_cell_once(spark):
     cv = cross_validate(df, schema, Params(rule_weight="cf", n_folds=5), D.EVENTS.row_id)
     tree = plan(cv.train, "simple").split("BroadcastExchange")[0]
     assert tree.count("BroadcastHashJoin") == 1 and tree.index("Generate") < tree.index("BroadcastHashJoin")
+
+
+def test_lines_meet_their_orders_once(spark):
+    """Every step after the first reads the joined rows and shuffles no lines again."""
+    df, model = trained(spark, SF, D.ORDER_LINES)
+    for q in (df, cell_sums(encode(df, model.schema, [F.lit(0).alias("chunk_id")]), model.schema)):
+        assert "Join" not in plan(q)
