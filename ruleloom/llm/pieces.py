@@ -57,7 +57,8 @@ class Pieces:
                 self.bytes[value], self.raw[i] = i, bytes([value])
         if len(self.bytes) != 256:
             raise ValueError(f"{vocabulary} has no byte pieces")
-        self.heads = {p[:n] for p in self.table for n in range(1, len(p) + 1)}
+        #: Beginnings of pieces, with weight and ids where they are pieces themselves.
+        self.heads = dict.fromkeys(p[:n] for p in self.table for n in range(1, len(p) + 1)) | self.table
         self.longest = max(map(len, self.table))
         self.by_words = not any(" " in p.lstrip(" ") for p in self.table)
         inner = "".join(sorted({c for p in self.table if len(p) > 1 for c in p if c.isspace() and c != " "}))
@@ -101,19 +102,19 @@ class Viterbi:
 
     def run(self, text: str):
         """Ids of the best segmentation, each as soon as it is final."""
-        get, heads, reach, n = self.p.table.get, self.p.heads, self.p.longest, len(text)
+        heads, reach, n = self.p.heads, self.p.longest, len(text)
         base, limit = 0, reach + CHECK_EVERY  # boundaries before ``base`` are final
-        slack = [-math.inf] * (reach + 1)
-        weight, back = [0.0, *slack], [None, *slack]  # of the boundaries from ``base`` on: best weight; boundary before and ids
+        held = min(n, limit + reach + 1) + 1
+        weight, back = [-math.inf] * held, [None] * held  # of the boundaries from ``base`` on: best weight; boundary before and ids
+        weight[0] = 0.0
         for start in range(n):
             k = start - base
             here = weight[k]
-            weight.append(-math.inf)
-            back.append(None)
             end = start + 1
-            found = get(text[start])
+            part = text[start]
+            found = heads.get(part)
             if found is None:
-                ids = self.p.byte_ids(text[start])
+                ids = self.p.byte_ids(part)
                 found = BYTE_WEIGHT * len(ids), ids
             k += 1
             if here + found[0] > weight[k]:
@@ -124,7 +125,7 @@ class Viterbi:
                 if part not in heads:
                     break
                 k += 1
-                found = get(part)
+                found = heads[part]
                 if found is not None and here + found[0] > weight[k]:
                     weight[k], back[k] = here + found[0], (start, found[1])
             if start - base > limit:
@@ -136,6 +137,9 @@ class Viterbi:
                     base, limit = met, reach + CHECK_EVERY
                 else:
                     limit *= 2
+                more = min(n - base, max(limit, start - base) + reach + 1) + 1 - len(weight)
+                weight += [-math.inf] * more
+                back += [None] * more
         yield from self._path(back, base, n)
 
     @staticmethod

@@ -68,3 +68,13 @@ def test_tables(spark):
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((d or -1, t or "") for d, t in rows)
     assert round_trips(frame(spark, [])).collect() == []
     assert [r.ids for r in encode(frame(spark, [(1, None)])).collect()] == [[]]
+
+
+def test_one_lookup_for_each_beginning():
+    """The recurrence asks one dictionary: all beginnings of pieces, with weight and ids where they are pieces."""
+    p = Pieces()
+    assert {k: v for k, v in p.heads.items() if v is not None} == p.table
+    assert set(p.heads) == {x[:n] for x in p.table for n in range(1, len(x) + 1)}
+    for text in [*ODD, "ab cd" * 200, "née ☃ " * 90]:
+        if text:
+            assert abs(weight(p, list(Viterbi(p).run(" " + text))) - best(p, text)) < 1e-6 * max(1, len(text))
