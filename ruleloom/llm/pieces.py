@@ -6,7 +6,9 @@ final and leave the window. So memory follows the longest piece and the ambiguit
 paths never meet, as in one letter repeated for ever, are all backpointers kept.
 
 Where no piece has a blank behind another character (checked when a vocabulary is loaded), all paths meet at the words'
-beginnings; the ids of a short word are remembered, up to a bound.
+beginnings. In a word they also meet between letters and marks that no piece has side by side, so a text is put together
+from parts of words, and the ids of a short part are remembered, up to a bound. Where a part has equally good segmentations,
+sums over the whole word decide between them, so such a word is searched as one.
 
 Pieces weigh -ln(2 + rank) where the file holds merge ranks, as byte-pair vocabularies do, and the file's log
 probability otherwise. A character without a piece becomes its UTF-8 bytes. Among equal weights the longer last piece
@@ -32,11 +34,30 @@ from sentencepiece import SentencePieceProcessor
 
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_WEIGHT = -30.0
-REMEMBERED, SHORT = 100_000, 48
+REMEMBERED, SHORT = 250_000, 48
 CHECK_EVERY = 32
+#: Weights that rounding of sums may put in either order.
+CLOSE = 1e-6
 BLANK = "▁"
 
 
+def _marks(table) -> set[str]:
+    """Characters of longer pieces that no chain of neighbours within pieces leads to a letter."""
+    kind: dict[str, str] = {}
+
+    def of(c):
+        while kind.setdefault(c, c) != c:
+            c = kind[c]
+        return c
+
+    for piece in table:
+        inside = piece.lstrip(" ")
+        for a, b in zip(inside, inside[1:]):
+            kind[of(a)] = of(b)
+    lettered = {of(c) for c in list(kind) if c.isalpha()}
+    return {c for c in list(kind) if of(c) not in lettered and c != " "}
+
+
 class Pieces:
     """A vocabulary's pieces with their weights."""
 
@@ -64,8 +85,14 @@ class Pieces:
         inner = "".join(sorted({c for p in self.table if len(p) > 1 for c in p if c.isspace() and c != " "}))
         # Words with the blanks before them, blanks alone, and white space that is in no longer piece, each by itself.
         self.split = re.compile(rf" *(?:[^\s]|[{re.escape(inner)}])+| +|\s" if inner else r" *[^\s]+| +|\s")
+        # The same with words cut into letters and marks.
+        marks = _marks(self.table)
+        inner, marks = re.escape("".join(sorted(set(inner) - marks))), re.escape("".join(sorted(marks)))
+        letters = rf"(?:[^\s{marks}]|[{inner}])+" if inner else rf"[^\s{marks}]+"
+        self.parts = re.compile(rf" *{letters}" + (rf"| *[{marks}]+" if marks else "") + r"| +|\s")
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.undecided: set[str] = set()
 
     def byte_ids(self, character: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in character.encode("utf-8", "surrogateescape"))
@@ -74,22 +101,71 @@ class Pieces:
         """Ids as little-endian 32-bit bytes."""
         if not text:
             return b""
-        out, known = [], self.words
-        for word in self.split.findall(" " + text) if self.by_words else [" " + text]:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.older.get(word)
-                if ids is None:
-                    found = list(Viterbi(self).run(word))
-                    ids = struct.pack(f"<{len(found)}I", *found)
-                if len(word) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        self.words, self.older = {}, known
-                        known = self.words
-                    known[word] = ids
-            out.append(ids)
+        if not self.by_words:
+            return self._searched(" " + text)
+        parts = self.parts.findall(" " + text)
+        out = list(map(self.words.get, parts))
+        if None in out:
+            out = [self._part(part) if ids is None else ids for part, ids in zip(parts, out)]
+            if None in out:
+                out = list(map(self._word, self.split.findall(" " + text)))
         return b"".join(out)
 
+    def _searched(self, word: str) -> bytes:
+        found = list(Viterbi(self).run(word))
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _known(self, word: str) -> bytes | None:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is not None:
+                self._remember(word, ids)
+        return ids
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        if len(word) <= SHORT:
+            if len(self.words) >= REMEMBERED:
+                self.words, self.older = {}, self.words
+            self.words[word] = ids
+
+    def _part(self, part: str) -> bytes | None:
+        """Ids of a part, unless it may stand behind another one and what stands before it decides between segmentations."""
+        ids = self._known(part)
+        if ids is None and part not in self.undecided:
+            if part[0] == " " or self._decided(part):
+                ids = self._searched(part)
+                self._remember(part, ids)
+            elif len(part) <= SHORT:
+                if len(self.undecided) >= REMEMBERED:
+                    self.undecided = set()
+                self.undecided.add(part)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self._known(word)
+        if ids is None:
+            parts = list(map(self._part, self.parts.findall(word)))
+            if None not in parts:
+                return b"".join(parts)
+            ids = self._searched(word)
+            self._remember(word, ids)
+        return ids
+
+    def _decided(self, part: str) -> bool:
+        """Whether no beginning of a part has two segmentations of about the same weight."""
+        weight = [0.0]
+        for end in range(1, len(part) + 1):
+            last = part[end - 1]
+            options = [weight[k] + self.table[part[k:end]][0] for k in range(max(0, end - self.longest), end) if part[k:end] in self.table]
+            if last not in self.table:
+                options.append(weight[-1] + BYTE_WEIGHT * len(self.byte_ids(last)))
+            options.sort()
+            if len(options) > 1 and options[-1] - options[-2] < CLOSE:
+                return False
+            weight.append(options[-1])
+        return True
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))[1:]
 

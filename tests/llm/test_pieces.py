@@ -78,3 +78,22 @@ def test_one_lookup_for_each_beginning():
     for text in [*ODD, "ab cd" * 200, "née ☃ " * 90]:
         if text:
             assert abs(weight(p, list(Viterbi(p).run(" " + text))) - best(p, text)) < 1e-6 * max(1, len(text))
+
+
+def test_words_with_marks_are_put_together(monkeypatch):
+    """A word beside marks is searched for once, whatever marks stand there, and has the ids of a search over all of it."""
+    import ruleloom.llm.pieces as module
+
+    p, searched = Pieces(), []
+    run = Viterbi.run
+    monkeypatch.setattr(module.Viterbi, "run", lambda self, text: searched.append(text) or run(self, text))
+    text = "anblewh anblewh, anblewh. anblewh; (anblewh) \"anblewh\" anblewh&&& anblewh?! anblewh&&&"
+    found = ids_of(p, text)
+    assert searched.count(" anblewh") == 1 and not {" anblewh,", " anblewh.", " anblewh;", " anblewh?!"} & set(searched)
+    assert " anblewh&&&" in searched
+    r = random.Random(7)
+    for _ in range(400):
+        word = " " + "".join(r.choice("theanbé&%*$,.'\"(1\r—☃") for _ in range(r.randint(1, 30)))
+        whole = [i for w in p.split.findall(word) for i in run(Viterbi(p), w)]
+        assert ids_of(p, word[1:]) == whole
+    assert p.decode(found).decode() == text
