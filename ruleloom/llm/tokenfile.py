@@ -8,8 +8,9 @@ doc_ids, doc_ends (offsets of the documents' ends in the block) and the packed p
 close at BLOCK_IDS or more. Shards are ranges of doc_id, so shard, block and place in the block give ascending doc_id; a
 shard's place among all ids follows from the shards' totals, one number for each.
 
-Encoding takes each run of characters between blanks once and remembers it: pure words with their punctuation go to the
-tokenizer joined by blanks and are told apart by its end-of-word pieces; whatever else goes to it alone.
+Encoding cuts runs of characters between blanks where the vocabulary does, into Latin-1 words, punctuation and digits, and
+remembers the ids of each: new words and punctuation go to the tokenizer joined by blanks and are told apart by its
+end-of-word pieces. A run with any other character is one part and goes to it alone.
 
 Null text counts as empty and is the end id alone. Rows with equal ids stand in order of their text, null ids first.
 Extra columns are not read; an empty table gives no blocks.
@@ -17,6 +18,7 @@ Extra columns are not read; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +38,13 @@ BLOCK_IDS = 1 << 16
 SHARD_BYTES = 32 << 20
 CACHED = 250_000
 #: Characters that part words in the vocabulary's own splitting; the apostrophe begins contractions and is left out.
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Letters that lower-casing and composition keep apart from their neighbours.
+LETTERS = "a-zA-Z" + "".join(c for c in map(chr, range(0x80, 0x100)) if c.isalpha())
+PLAIN = LETTERS + PUNCTUATION + "0-9"
+#: A run with another character, whole; or else a word, punctuation or a digit.
+PARTS = re.compile(rf"[{PLAIN}]*+[^{PLAIN} \t-\r][^ \t-\r]*|[{LETTERS}]+|[{PUNCTUATION}]+|[0-9]")
+BATCHED = re.compile(rf"[{LETTERS}]+|[{PUNCTUATION}]+")
 #: How special tokens begin; runs with it go to the tokenizer alone and as they are.
 SPECIAL = b"<|"
 LANES = 64
@@ -91,57 +99,45 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _parts(self, run: bytes) -> list[bytes] | None:
-        """A run as the vocabulary parts it, if it is a Latin-1 word with punctuation around it."""
-        core = run.strip(PUNCTUATION)
-        if SPECIAL in run:
-            return None
-        at = run.find(core)
-        head, tail = run[:at], run[at + len(core) :]
-        if core and not core.isalpha():
-            text = core.decode()
-            if not text.isalpha() or max(text) >= "\u0100":
-                return None
-            core = text.lower().encode()
-        core = core.lower()
-        return [x for x in (head, core, tail) if x]
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Remembers the ids of runs; words, and the parts of other runs, are encoded together."""
-        known, older = self.known, self.older
+    @staticmethod
+    def parts(text: bytes) -> list[str]:
+        """A text as the vocabulary parts it. It lower-cases, so A-Z may be lower-cased beforehand unless a special token could come of it."""
+        if SPECIAL not in text:
+            return PARTS.findall(text.lower().decode())
+        return [x for run in text.split() for x in ([run.decode()] if SPECIAL in run else PARTS.findall(run.lower().decode()))]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remembers the ids of parts; words and punctuation are encoded together."""
+        known, older, special = self.known, self.older, SPECIAL.decode()
         found = new & older.keys()
-        known.update({run: older[run] for run in found})
+        known.update({part: older[part] for part in found})
         new = new - found
-        words = {run for run in new if run.isalpha() and run.islower()}
-        parts = {run: self._parts(run) for run in new - words}
-        words.update(x for p in parts.values() if p for x in p)
-        words = list(words - known.keys())
+        batched = {part: part.lower() for part in new if BATCHED.fullmatch(part) and special not in part}
+        words = list(set(batched.values()) - known.keys())
         if words:
             # Lower-case composed words without inner breaks: what the vocabulary's normaliser and splitting leave alone.
-            ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(words) and stops[-1] == len(ids):
                 raw, stops = ids.tobytes(), (4 * stops).tolist()
                 known.update(zip(words, [raw[a:b] for a, b in zip([0, *stops], stops)]))
             else:
-                known.update({w: self.alone(w.decode()) for w in words})
-        for run, p in parts.items():
-            known[run] = b"".join([known[x] for x in p]) if p else self.alone(run.decode())
+                known.update({w: self.alone(w) for w in words})
+        known.update({part: known[word] if (word := batched.get(part)) else self.alone(part) for part in new - known.keys()})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The vocabulary lower-cases, so A-Z may be lower-cased beforehand unless a special token could come of it."""
-        split = [(t if SPECIAL in t else t.lower()).split() for t in texts]
+        split = list(map(self.parts, texts))
         used = set().union(*split)
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
         self._learn(used - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -56,3 +57,14 @@ def test_files(spark, tmp_path):
     assert all(r.ids[-1] == 1 for r in read_tokens(spark, path).collect())
     write_tokens(frame(spark, []), path + "0")
     assert digests(spark, path + "0").collect() == []
+
+
+def test_words_are_remembered_without_what_stands_beside_them():
+    """A word beside punctuation or digits is no entry of its own; the ids are the library's."""
+    t, e = Tokenizer.from_file(public_tokenizers.path(VOCABULARY)), Encoder(VOCABULARY)
+    r = random.Random(5)
+    texts = ["hend hend, hend. (hend) hend&&& hend12 12,hend née, Née.", "<|x hend, <|endoftext|>, hend"]
+    texts += ["".join(r.choice("abThé É&%*$,.'\"(1²—☃ ́<|>st\t") for _ in range(200)) for _ in range(200)]
+    for text, raw in zip(texts, e.encode([x.encode() for x in texts])):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert "hend" in e.known and not [x for x in e.known if x.startswith("hend") and x != "hend"]
